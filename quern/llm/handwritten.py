@@ -1,12 +1,13 @@
 """Problem 2: files that nobody wrote by hand, told by path.
 
-The tables hold paths, not file contents, so a file's token stream is that of its path: the parts
-between / . _ - and changes of case, numbers and hexadecimal names each as one class. Winnowing
-keeps the smallest of every few hashed k-grams as fingerprints. A path whose fingerprints largely
-recur in many unrelated repositories is a vendored copy if its own name is among what recurs. What
-a name or place says by itself (lock files, generated, minified and bundled files, build output,
-third-party folders, data saved as code) is decided on the same token stream by fixed name lists, and
-by the repository's globs.
+The tables hold paths and no file contents. What is asked is what a path's name or place says (lock
+files, generated, minified and bundled files, build output, third-party folders, data saved as code)
+and what the repository's globs cover; both are decided exactly, on every path, by name lists.
+
+recurring() is the winnowing detector of vendored copies over the paths' token streams: the parts
+between / . _ - and changes of case, numbers and hexadecimal names each as one class; the smallest
+of every few hashed k-grams are the fingerprints. Without contents a hand-written path in a common
+layout recurs as much as a copy does, so it reports, and doesn't decide; the README has figures.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def label_paths(labels: DataFrame) -> DataFrame:
 
 
 def recurring(files: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_REPOS) -> DataFrame:
-    """(path) whose fingerprints recur: files is (repo, path), a repository each.
+    """(path, part): paths of which `share` of the fingerprints recur. files: (repo, path).
 
     A fingerprint recurs if `least` repositories or more hold it. Counting repositories per
     fingerprint combines before the shuffle; a hot fingerprint is one row per task then.
@@ -98,25 +99,21 @@ def recurring(files: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_R
     many = held.where(F.col("repos") >= least).select("print")
     own = prints.select("path", "print").distinct()
     each = own.join(many.withColumn("hit", F.lit(1)), "print", "left").groupBy("path").agg((F.count("hit") / F.count(F.lit(1))).alias("part"))
-    return each.where(F.col("part") >= share).select("path")
+    return each.where(F.col("part") >= share)
 
 
 def classify(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """(label_id, repo, path, kind): kind is null for paths written by hand.
 
-    kind is what name or place says, else glob (the repository's own globs), else vendored (the
-    path's fingerprints, its own name among them, recur in many repositories). Labels without a
-    repository or a manifest row have no globs.
+    kind is what name or place says, else glob (the repository's own globs). Labels without a
+    repository or a manifest row have no globs. The path comes as written; a path that a label
+    names twice comes once.
     """
-    rows = label_paths(labels)
-    named = rows.withColumn("kind", path_kind(F.col("path")))
-    # few repositories have globs, and many rows have one repository: the small side goes where the rows are
+    named = label_paths(labels).withColumn("kind", path_kind(F.col("path")))
     joined = named.join(repo_globs(manifest), "repo", "left")
     kind = F.coalesce(F.col("kind"), F.when(F.rlike("path", F.col("globs")), "glob"))
-    rest = joined.select("label_id", "repo", "raw", "path", kind.alias("kind"))
-    copies = recurring(rows.select("repo", "path")).withColumn("copy", F.lit("vendored"))
-    return rest.join(copies, "path", "left").select("label_id", "repo", F.col("raw").alias("path"), F.coalesce("kind", "copy").alias("kind"))
+    return joined.select("label_id", "repo", F.col("raw").alias("path"), kind.alias("kind"))
 
 
 def found(labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    return classify(labels, manifest).where("kind is not null").select("label_id", "path").distinct()
+    return classify(labels, manifest).where("kind is not null").select("label_id", "path")

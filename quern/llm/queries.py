@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.functions.columns import REPO_KEY_SQL, STRIP_SQL
-from quern.llm import handwritten, overlap, terms
+from quern.llm import capping, components, handwritten, overlap, packing, terms
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,14 +17,32 @@ def _terms_found(s: SparkSession, d: str) -> DataFrame:
     return terms.label_term_marks(table(s, d, "generated_label")).where("mark <> 'useful'").select("field", "term", "mark")
 
 
+def _packed(s: SparkSession, d: str) -> DataFrame:
+    names = ("sequence_metadata", "sequence_run", "generated_label", "source_manifest")
+    return packing.pack(packing.sequence_records(*(table(s, d, n) for n in names)))
+
+
+def _plan(s: SparkSession, d: str, *more: str) -> tuple[DataFrame, ...]:
+    return tuple(table(s, d, n) for n in ("split_plan", "repo_alias", *more))
+
+
 def queries() -> dict[str, Query]:
     t = table
     return {
         "p1_found": _terms_found,
         "p1_terms": lambda s, d: terms.label_term_marks(t(s, d, "generated_label")),
         "p2_found": lambda s, d: handwritten.found(t(s, d, "generated_label"), t(s, d, "source_manifest")),
+        "p2_recurring": lambda s, d: handwritten.recurring(handwritten.label_paths(t(s, d, "generated_label")).select("repo", "path")),
         "p3_found": lambda s, d: overlap.found(t(s, d, "generated_label")),
         "p3_report": lambda s, d: overlap.report(t(s, d, "generated_label")),
+        "p4_found": lambda s, d: components.torn_windows(*_plan(s, d)),
+        "p4_splits": lambda s, d: components.plan_splits(*_plan(s, d, "split_target")),
+        "p4_report": lambda s, d: components.plan_report(*_plan(s, d, "split_target")),
+        "p6_found": lambda s, d: capping.labels_beyond_cap(t(s, d, "generated_label")).select("label_id"),
+        "p6_report": lambda s, d: capping.report(t(s, d, "generated_label")),
+        "p7_found": lambda s, d: packing.divided(_packed(s, d)),
+        "p7_packing": _packed,
+        "p7_report": lambda s, d: packing.report(_packed(s, d)),
     }
 
 
