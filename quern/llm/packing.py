@@ -1,11 +1,11 @@
 """Problem 7: records into sequences of fixed capacity, by deficit round-robin over source queues.
 
 Records of a group are spread over blocks of bounded size by hash. In a block every source is a
-queue with a deficit: each new sequence adds its target share of the capacity, and the source that
-lacks most gives its longest record that fits both its deficit and the room. What room is then left
-takes the longest record that fits of any source, which puts that source in debt; deficits carry over
-from sequence to sequence. Sequences that stay below FULL are opened again: their records and the
-block's deficits go to a second round of blocks over the whole group.
+queue with a deficit: each new sequence adds its target share of the capacity. The longest record
+left opens the sequence; then, until nothing fits, the source that lacks most gives its longest
+record that fits. A record may put its source in debt, which carries over from sequence to sequence.
+Sequences that stay below FULL are opened again: their records and the block's deficits go to a
+second round of blocks over the whole group.
 """
 
 from __future__ import annotations
@@ -36,28 +36,18 @@ def fill(queues: dict[str, list[tuple[int, int]]], share: dict[str, float], capa
         for s in live:
             owed[s] += capacity * share.get(s, 0.0) / weight
         room, taken = capacity, []
-        order = sorted(live, key=owed.__getitem__, reverse=True)
-        while True:
-            chosen, best = None, 0
-            for s in order:  # the source that lacks most and has a record for its deficit
-                limit = min(room, owed[s])
-                if queues[s] and queues[s][0][0] <= limit:
-                    chosen, best = s, bisect_right(queues[s], (limit, 1 << 62)) - 1
-                    break
-            if chosen is None:
-                length = 0
-                for s in order:  # else the longest record that fits, on credit
-                    if queues[s] and queues[s][0][0] <= room:
-                        i = bisect_right(queues[s], (room, 1 << 62)) - 1
-                        if queues[s][i][0] > length:
-                            chosen, best, length = s, i, queues[s][i][0]
-            if chosen is None:
-                break
-            length, number = queues[chosen].pop(best)
+        # a sequence opens with the longest record there is, or long ones would be left alone at the end
+        opener = max(live, key=lambda s: (queues[s][-1][0], owed[s]))
+        while opener is not None:
+            q = queues[opener]
+            length, number = q.pop(bisect_right(q, (room, 1 << 62)) - 1)
             room -= length
-            owed[chosen] -= length
+            owed[opener] -= length
             taken.append(number)
-            order.sort(key=owed.__getitem__, reverse=True)
+            opener, most = None, 0.0
+            for s in live:  # then the source that lacks most gives its longest record that fits
+                if queues[s] and queues[s][0][0] <= room and (opener is None or owed[s] > most):
+                    opener, most = s, owed[s]
         out.append(taken)
         live = [s for s in live if queues[s]]
     return out
