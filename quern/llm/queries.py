@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.functions.columns import REPO_KEY_SQL, STRIP_SQL
-from quern.llm import capping, components, handwritten, overlap, packing, terms
+from quern.llm import capping, components, handwritten, leaks, mixing, overlap, packing, stuffing, terms, tokens
 from quern.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,11 +38,20 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: components.torn_windows(*_plan(s, d)),
         "p4_splits": lambda s, d: components.plan_splits(*_plan(s, d, "split_target")),
         "p4_report": lambda s, d: components.plan_report(*_plan(s, d, "split_target")),
+        "p5_budget": lambda s, d: tokens.budget(*(t(s, d, n) for n in ("documents", "sequence_metadata", "generated_label", "source_manifest"))),
+        "p5_loss_tokens": lambda s, d: tokens.loss_tokens(*(t(s, d, n) for n in ("sequence_metadata", "generated_label", "source_manifest"))),
+        "p5_document_tokens": lambda s, d: tokens.document_tokens(t(s, d, "documents")),
         "p6_found": lambda s, d: capping.labels_beyond_cap(t(s, d, "generated_label")).select("label_id"),
         "p6_report": lambda s, d: capping.report(t(s, d, "generated_label")),
         "p7_found": lambda s, d: packing.divided(_packed(s, d)),
         "p7_packing": _packed,
         "p7_report": lambda s, d: packing.report(_packed(s, d)),
+        "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_item")),
+        "p8_report": lambda s, d: leaks.report(t(s, d, "documents"), t(s, d, "eval_item")),
+        "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_target")),
+        "p9_shares": lambda s, d: mixing.shares(mixing.mix(t(s, d, "documents"), t(s, d, "mix_target")), t(s, d, "mix_target")),
+        "p10_found": lambda s, d: stuffing.found(t(s, d, "documents")),
+        "p10_scores": lambda s, d: stuffing.scores(t(s, d, "documents")),
     }
 
 
