@@ -46,7 +46,8 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, mode
     docs = documents.select("doc_id", folded("source").alias("source"), token_counter(model)("text").alias("tokens"))
     goal = targets.select(folded("source").alias("source"), F.col("target_share").cast("double").alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("most")).where("source is not null and share > 0 and most > 0")
     goal = goal.groupBy("source").agg(F.max_by(F.struct("share", "most"), "share").alias("g")).select("source", "g.share", "g.most")
-    docs = materialize(docs.where("tokens > 0 and doc_id is not null and source is not null"), "tokens")
+    # written before it is filtered: a filter on the count would count twice
+    docs = materialize(docs.where("doc_id is not null"), "tokens").where("tokens > 0 and source is not null")
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("rows")).join(goal, "source")
     plan = have.orderBy("source").limit(SOURCES + 1).collect()
     if len(plan) > SOURCES:
