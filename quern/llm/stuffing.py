@@ -128,9 +128,10 @@ def _window_mean(values: np.ndarray, group: np.ndarray, size: int) -> np.ndarray
     if not len(values):
         return values
     total = np.concatenate([[0.0], np.cumsum(values)])
-    start = np.searchsorted(group, group, "left")
-    end = np.searchsorted(group, group, "right")
     at = np.arange(len(values))
+    edge = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(values)]])
+    size_of = np.diff(edge)
+    start, end = np.repeat(edge[:-1], size_of), np.repeat(edge[1:], size_of)
     lo = np.maximum(start, np.minimum(at - size // 2, end - size))
     hi = np.minimum(end, lo + size)
     return (total[hi] - total[lo]) / (hi - lo)
@@ -147,15 +148,17 @@ def score_block(block: Block, key: np.ndarray, total: np.ndarray, words: float,
     low = _window_mean(pmi, group, WINDOW) < SALAD
     stuffed[block.first[low]] = stuffed[block.first[low] + 1] = True
     written = (block.mark == WRITTEN) & ~stuffed
-    # collocations repeated to excess: `times` of one pair in a document within `span` words; none in written sentences
-    order = np.lexsort((block.first, block.pair ^ (group.astype(np.uint64) * MIX)))
-    k, p, d = block.pair[order], block.first[order], group[order]
+    # collocations repeated to excess: `times` of one pair in a document within `span` words, outside written sentences
+    some = np.flatnonzero(~(written[block.first] & written[block.first + 1]))
+    k, p, d = block.pair[some], block.first[some], group[some]
+    order = np.argsort(k ^ (d.astype(np.uint64) * MIX), kind="stable")  # positions stay ascending
+    k, p, d, often = k[order], p[order], d[order], pair[some][order]
     for times, span, where in ((TIMES, SPAN, ~written), (TIMES_LISTED, SPAN_LISTED, block.mark == PLAIN)):
         n = len(k) - times + 1
         if n <= 0:
             continue
         dense = (k[:n] == k[times - 1 :]) & (d[:n] == d[times - 1 :]) & (p[times - 1 :] - p[:n] <= span)
-        dense &= EXCESS * span * pair[order][:n] / pairs < times
+        dense &= EXCESS * span * often[:n] / pairs < times
         for j in range(times):
             at = p[np.flatnonzero(dense) + j]
             at = np.concatenate([at, at + 1])
