@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def glob_regex(glob: str) -> str:
@@ -28,15 +29,18 @@ def glob_regex(glob: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def globs_regex(globs: pd.Series) -> pd.Series:
+def globs_regex(globs: Column | str) -> Column:
     """One regex for an array of globs, anchored at both ends; null where there are none."""
 
     def one(g: list[str] | None) -> str | None:
         known = sorted({x for x in g if x}) if g is not None else []
         return "(?s)^(?:" + "|".join(map(glob_regex, known)) + ")$" if known else None
 
-    return globs.map(one)
+    def each(part: pd.Series) -> pd.Series:
+        return part.map(one)
+
+    each.__annotations__ = {"part": pd.Series, "return": pd.Series}
+    return F.pandas_udf(each, T.StringType())(globs)
 
 
 def split_by_globs(paths: Column, regex: Column) -> Column:

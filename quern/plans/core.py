@@ -1,15 +1,253 @@
-"""Queries of the core operators on the driver's tables, and their SQL."""
+"""Queries of the core operators on the driver's tables, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from quern.functions import commits, paths, tokens
+from quern.functions.columns import repo_key, split_name, valid_rows
+from quern.functions.globs import globs_regex, split_by_globs
+from quern.operators import dedup, intervals, lineage, models, reports, vocabulary
+from quern.session import materialize
+from quern.tables import table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def label(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    return valid_rows(table(s, d, "generated_label"), "id", *columns)
+
+
+def messages(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    m = commits.plain_message(F.col("header"), F.col("body"), F.col("footers"))
+    return label(s, d, "header", "body", "footers", *columns).withColumn("message", m)
+
+
+def commit_parse(s: SparkSession, d: str) -> DataFrame:
+    p = commits.with_parsed(messages(s, d), "message")
+    return p.select("id", "parsed.type", "parsed.scope", "parsed.subject", F.size("parsed.body").cast("bigint").alias("n_body"), F.size("parsed.footers").cast("bigint").alias("n_footers"), "parsed.breaking", "parsed.error")
+
+
+def _scored(s: SparkSession, d: str) -> DataFrame:
+    return commits.with_score(messages(s, d, "changed_paths", "data_split", "evidence_paths"), "message", paths="changed_paths")
+
+
+def commit_score(s: SparkSession, d: str) -> DataFrame:
+    return _scored(s, d).select("id", *[f"score.{c}" for c in ("format_validity", "scope_quality", "specificity", "brevity")], F.size("score.errors").cast("bigint").alias("n_errors"))
+
+
+def score_report(s: SparkSession, d: str) -> DataFrame:
+    rows = _scored(s, d).select(F.coalesce(split_name("data_split"), F.lit("NONE")).alias("split"), "score.*")
+    return reports.tri_state(rows, ["format_validity", "scope_quality", "specificity", "brevity"], ["split"]).withColumn("split", F.coalesce("split", F.lit("ALL")))
+
+
+def verifier(s: SparkSession, d: str) -> DataFrame:
+    rows = _scored(s, d).withColumn("e", paths.evidence(F.col("evidence_paths"), F.col("changed_paths")))
+    return rows.select("id", F.round(commits.verifier_score(F.col("score"), F.col("e.kept"), F.col("changed_paths")), 6).alias("verifier"), F.size("e.kept").cast("bigint").alias("kept"), F.size("e.dropped").cast("bigint").alias("dropped"))
+
+
+def top_errors(s: SparkSession, d: str) -> DataFrame:
+    return reports.top(_scored(s, d).select(F.explode("score.errors").alias("error")), "error", 10)
+
+
+def path_tokens(s: SparkSession, d: str) -> DataFrame:
+    rows = label(s, d, "changed_paths").select(F.explode(paths.tokens(F.col("changed_paths"))).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def path_flags(s: SparkSession, d: str) -> DataFrame:
+    p = F.col("changed_paths")
+    return label(s, d, "changed_paths").select(
+        "id", F.exists(p, paths.is_docs).alias("docs"), F.exists(p, paths.is_tests).alias("tests"), F.exists(p, lambda x: paths.has_part(F.lower(x), ["snapshot", "snapshots", "baselines"])).alias("snapshots"),
+        F.size(F.array_distinct(F.transform(p, paths.extension))).cast("bigint").alias("extensions"), paths.topic(paths.tokens(p)).alias("topic"),
+    )
+
+
+def glob_partition(s: SparkSession, d: str) -> DataFrame:
+    globs = valid_rows(table(s, d, "source_manifest").select(repo_key("repo_url").alias("repo"), "exclude_globs", "_ord"), "repo", "exclude_globs").select("repo", globs_regex("exclude_globs").alias("rx"))
+    rows = valid_rows(table(s, d, "generated_label").select("id", "_ord", repo_key("source_repo_url").alias("repo"), "changed_paths"), "id", "repo", "changed_paths").join(globs, "repo", "left")
+    both = split_by_globs(F.col("changed_paths"), F.col("rx"))
+    return rows.withColumn("b", both).select("id", F.size("b.included").cast("bigint").alias("included"), F.size("b.excluded").cast("bigint").alias("excluded"))
+
+
+def repo_keys(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "generated_label")
+    return rows.groupBy(repo_key("source_repo_url").alias("repo")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source_repo_url").alias("spellings"))
+
+
+def change_ids(s: SparkSession, d: str) -> DataFrame:
+    rows = label(s, d, "source_repo_url", "source_commit")
+    return rows.select("id", paths.change_id(F.col("source_repo_url"), F.col("source_commit")).alias("change_id"), paths.without_prefix(F.col("id")).alias("source_diff_id"))
+
+
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    cols = ("plan_id", "repo_url", "split", "start_at", "end_at", "target_records")
+    w = valid_rows(table(s, d, "split_plan"), "id", *cols)
+    start, end = (intervals.rfc3339(F.col(c)).alias(n) for c, n in (("start_at", "start"), ("end_at", "end")))
+    return w.select("id", "plan_id", repo_key("repo_url").alias("repo"), split_name("split").alias("split"), start, end, "target_records")
+
+
+def window_overlaps(s: SparkSession, d: str) -> DataFrame:
+    return intervals.overlaps(_windows(s, d), ["plan_id", "repo"], "id").select("plan_id", "repo", "id")
+
+
+def split_assign(s: SparkSession, d: str) -> DataFrame:
+    """Labels by their generation time and the windows of their repository in all plans; the first window by plan and id holds."""
+    w = _windows(s, d).withColumn("_ord", F.concat_ws("/", "plan_id", "id"))
+    rows = valid_rows(table(s, d, "generated_label").select("id", "_ord", repo_key("source_repo_url").alias("repo"), intervals.rfc3339(F.col("generation_timestamp")).alias("at")), "id", "repo", "at")
+    return intervals.assign_windows(rows, w, ["repo"], "at", ["id"]).groupBy("split").agg(F.count(F.lit(1)).alias("labels"), F.count_distinct("repo").alias("repos"))
+
+
+def split_summary(s: SparkSession, d: str) -> DataFrame:
+    return intervals.split_summary(_windows(s, d), ["DEV", "REPORT", "HELD_OUT"])
+
+
+def repo_share(s: SparkSession, d: str) -> DataFrame:
+    rows = valid_rows(table(s, d, "generated_label").select("id", "_ord", repo_key("source_repo_url").alias("repo")), "id", "repo")
+    return intervals.largest_share(rows, "repo")
+
+
+def gate_table(s: SparkSession, d: str) -> DataFrame:
+    rows = valid_rows(table(s, d, "generated_label").select("id", "_ord", repo_key("source_repo_url").alias("repo"), split_name("data_split").alias("split")), "id", "repo", "split")
+    one = rows.agg(F.count_if(F.col("split") == "DEV").alias("dev"), F.count_if(F.col("split") == "REPORT").alias("report"), F.count_distinct("repo").alias("repos"), F.sum(F.lit(None).cast("bigint")).alias("nothing"))
+    bounds = [("dev_records", F.col("dev"), "min", 1000), ("report_records", F.col("report"), "min", 1_000_000), ("repos", F.col("repos"), "max", 1000), ("unmeasured", F.col("nothing"), "min", 1)]
+    return lineage.gates(one, bounds)
+
+
+def label_reference(s: SparkSession, d: str) -> DataFrame:
+    """sequence_metadata against the labels it refers to: unknown labels, differing splits."""
+    meta = valid_rows(table(s, d, "sequence_metadata"), "record_id", "source_diff_id", "data_split")
+    ref = label(s, d, "data_split").select(paths.without_prefix(F.col("id")).alias("diff_id"), F.col("data_split").alias("label_split"))
+    out = lineage.compare(meta, ref, "source_diff_id", "diff_id", {"data_split": "label_split"})
+    return out.groupBy(F.array_join("errors", "; ").alias("errors")).agg(F.count(F.lit(1)).alias("records"))
+
+
+def missing_sequences(s: SparkSession, d: str) -> DataFrame:
+    want = label(s, d).select(paths.without_prefix(F.col("id")).alias("source_diff_id"))
+    return lineage.missing(want, table(s, d, "sequence_metadata"), "source_diff_id")
+
+
+def duplicate_labels(s: SparkSession, d: str) -> DataFrame:
+    return dedup.duplicates(table(s, d, "generated_label"), "id")
+
+
+def first_labels(s: SparkSession, d: str) -> DataFrame:
+    return dedup.first_rows(table(s, d, "generated_label").select("id", "_ord", "header"), "id")
+
+
+def merged_labels(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "generated_label").select("id", "source_commit", "_ord")
+    kept, _ = dedup.merge_inputs([rows.where(F.col("_ord") % 2 == 1), rows.where(F.col("_ord") % 2 == 0)], "id", "source_commit")
+    return kept.select("id", "source_commit", "_ord")
+
+
+def per_repo_limit(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "generated_label").select(F.coalesce(repo_key("source_repo_url"), F.lit("")).alias("repo"), "id", "_ord")
+    return dedup.limit_per_group(rows, ["repo"], [F.asc("_ord")], 5)
+
+
+def doc_token_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.size(tokens.tokenize(F.col("text"))).cast("bigint").alias("tokens"))
+
+
+def _streams(s: SparkSession, d: str) -> DataFrame:
+    """Two-message records: a label's paths as the user's text, its message as the assistant's."""
+    m = messages(s, d, "changed_paths", "data_split")
+    user, reply = F.array_join("changed_paths", "\n"), F.col("message")
+    chat = F.array(F.struct(F.lit("user").alias("role"), user.alias("content")), F.struct(F.lit("assistant").alias("role"), reply.alias("content")))
+    return m.select("id", F.coalesce(split_name("data_split"), F.lit("NONE")).alias("data_split"), user.alias("user"), reply.alias("reply"), tokens.record_stream(chat).alias("tokens"))
+
+
+def vocabulary_top(s: SparkSession, d: str) -> DataFrame:
+    counts = vocabulary.token_counts(_streams(s, d).where("data_split = 'DEV'"))
+    return vocabulary.build(counts, 500).select("id", "token", "count")
+
+
+def token_coverage(s: SparkSession, d: str) -> DataFrame:
+    rows = materialize(_streams(s, d).select("data_split", "tokens"), "streams")
+    vocab = vocabulary.build(vocabulary.token_counts(rows.where("data_split = 'DEV'")), 500)
+    return vocabulary.coverage(rows, vocab)
+
+
+def sequence_accounting(s: SparkSession, d: str) -> DataFrame:
+    out = vocabulary.accounting(vocabulary.plan(_streams(s, d), 128, 400))
+    return out.withColumn("data_split", F.coalesce("data_split", F.lit("ALL")))
+
+
+def sequence_crop(s: SparkSession, d: str) -> DataFrame:
+    """What a context of 128 tokens leaves of the paths, and the hashes of loss masks."""
+    rows = _streams(s, d).withColumn("u", tokens.tokenize(F.col("user"))).withColumn("a", tokens.tokenize(F.col("reply")))
+    budget = F.lit(128) - F.size("a") - 8
+    r = rows.withColumn("c", tokens.crop(F.col("u"), budget)).withColumn("r", tokens.render(F.array().cast("array<string>"), F.col("c"), F.col("a")))
+    return r.select("id", F.size("c").cast("bigint").alias("kept"), F.size("r.tokens").cast("bigint").alias("length"), F.aggregate("r.loss_mask", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("loss"), F.sha2(F.array_join("c", " "), 256).alias("crop_sha256"))
+
+
+def input_hashes(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "sequence_metadata")
+    ids = F.array(*[F.coalesce(F.col(c), F.lit(-1)).cast("int") for c in ("input_length", "loss_tokens", "unknown_tokens")])
+    return rows.select("record_id", "_ord", tokens.ints_sha256(ids).alias("ids_sha256"), F.sha2("record_id", 256).alias("record_sha256"), tokens.hashed_bucket(F.col("_ord"), F.col("_ord") + 1, F.lit(0), 1000).alias("bucket"))
+
+
+def type_matrix(s: SparkSession, d: str) -> DataFrame:
+    rows = commits.with_parsed(messages(s, d, "changed_paths", "data_split"), "message").where((split_name("data_split") == "DEV") & F.col("parsed.type").isin(commits.TYPES))
+    return models.train_path_types(rows.select("changed_paths", "parsed.type"))
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    rows = commits.with_parsed(messages(s, d, "changed_paths", "data_split"), "message").where(F.col("parsed.type").isin(commits.TYPES))
+    return materialize(rows.select("id", split_name("data_split").alias("split"), "changed_paths", "parsed.type"), "typed")
+
+
+def predicted_types(s: SparkSession, d: str) -> DataFrame:
+    rows = _typed(s, d)
+    model = materialize(models.train_path_types(rows.where("split = 'DEV'")), "model")
+    got = models.predict_path_types(rows.where("split = 'REPORT'"), model, "id")
+    return got.join(rows.select("id", "type"), "id").select("id", "predicted", "subject", (F.col("predicted") == F.col("type")).alias("type_match"))
+
+
+def softmax_types(s: SparkSession, d: str) -> DataFrame:
+    rows = _typed(s, d)
+    model = materialize(models.train_softmax(rows.where("split = 'DEV'"), "id", "type", epochs=1), "model")
+    return models.predict_softmax(rows.where("split = 'REPORT'"), model, "id").join(rows.select("id", "type"), "id").select("id", "predicted", F.round("probability", 6).alias("probability"), (F.col("predicted") == F.col("type")).alias("type_match"))
+
+
+def margin_weights(s: SparkSession, d: str) -> DataFrame:
+    rows = _streams(s, d).where("data_split = 'REPORT'").select(F.xxhash64("id").alias("_ord"), "user", "reply")
+    rows = rows.withColumn("a", tokens.tokenize(F.col("reply")))
+    ids = F.transform("a", lambda t: F.pmod(F.xxhash64(t), F.lit(32_000)).cast("int"))
+    return models.train_margin(rows.select("_ord", ids.alias("ids"), F.transform("a", lambda _: F.lit(1)).alias("loss_mask")), 512, 50)
+
+
+def manifest_errors(s: SparkSession, d: str) -> DataFrame:
+    rules = [(lineage.filled("repo_url"), "repo_url must be a non-empty string"), (F.col("source_revision").rlike("^[0-9a-f]{7,40}$"), "source_revision must be a hexadecimal revision"), (F.size("allowed_splits") > 0, "allowed_splits must be a non-empty list"), (F.col("ecosystem").isNull() | (F.length("ecosystem") > 0), "ecosystem must be a non-empty string when present")]
+    rows = table(s, d, "source_manifest").select("_ord", F.explode_outer(lineage.rule_errors(rules)).alias("error"))
+    return rows.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def event_props(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("k").alias("k"))
+
+
+def revenue_rank(s: SparkSession, d: str) -> DataFrame:
+    o, c, n = (table(s, d, x) for x in ("orders", "customer", "nation"))
+    per = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    named = per.join(n, per.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("nation"), "orders", "revenue")
+    return named.withColumn("place", F.row_number().over(Window.orderBy(F.desc("orders"), "nation")).cast("bigint"))  # one row per nation
+
+
+def queries() -> dict[str, Query]:
+    own = [
+        commit_parse, commit_score, score_report, verifier, top_errors, path_tokens, path_flags, glob_partition, repo_keys, change_ids, window_overlaps, split_assign, split_summary, repo_share, gate_table, label_reference, missing_sequences,
+        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, token_coverage, sequence_accounting, sequence_crop, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights, manifest_errors, event_props, revenue_rank,
+    ]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quern.plans.oracle import SQL
+
+    return SQL
