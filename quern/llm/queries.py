@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.functions.columns import REPO_KEY_SQL, STRIP_SQL
 from quern.llm import capping, components, handwritten, leaks, mixing, overlap, packing, stuffing, terms, tokens
 from quern.tables import table
 
@@ -56,4 +55,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quern.llm.oracle import SQL
+
+    return SQL
