@@ -113,6 +113,8 @@ class ItemIndex:
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in prints, number of an item fingerprint) within RADIUS bits, all of them."""
+        if not len(self.prints) or not len(prints):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         left, right = [], []
         for m, table, (keys, order) in zip(MASKS, self.tables, self.sorted, strict=True):
             own = prints & m
