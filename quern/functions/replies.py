@@ -20,7 +20,7 @@ def _unfenced(text: Column) -> Column:
 def _lines(value: Column) -> Column:
     """A list of strings, or a string's lines without blank ones; null for anything else."""
     listed = F.from_json(value, "array<string>")
-    split = F.filter(F.transform(lines_of(value), F.trim), lambda x: x != "")
+    split = F.filter(F.transform(lines_of(value), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(value.rlike(r"(?s)^\s*\[.*\]\s*$"), listed).otherwise(split)
 
 

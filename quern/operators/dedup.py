@@ -87,4 +87,4 @@ def merge_inputs(inputs: list[DataFrame], primary: str, secondary: str, order: s
     report = rows.groupBy(F.col("_input").alias("input")).agg(F.count(F.lit(1)).alias("rows"))
     got = kept.groupBy(F.col("_input").alias("input")).agg(F.count(F.lit(1)).alias("kept"))
     zero = F.coalesce("kept", F.lit(0).cast("bigint"))
-    return kept.drop("_input"), report.join(got, "input", "left").select("input", "rows", zero.alias("kept"), (F.col("rows") - zero).alias("skipped"))
+    return kept.select(*inputs[0].columns), report.join(got, "input", "left").select("input", "rows", zero.alias("kept"), (F.col("rows") - zero).alias("skipped"))

@@ -43,8 +43,9 @@ def encode(records: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "t
     The vocabulary has a bound (its size), so AQE may broadcast it; positions are put back per record.
     """
     each = records.select(key, F.posexplode(tokens).alias("pos", "token"))
-    ids = each.join(vocabulary.select("token", "id"), "token", "left").groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))), lambda x: x["id"]).alias("ids"), F.count_if(F.col("id").isNull()).alias("unknown_tokens")
+    known = vocabulary.select("token", F.col("id").alias("_v"))
+    ids = each.join(known, "token", "left").groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_v", F.lit(unknown)).alias("v")))), lambda x: x["v"]).alias("ids"), F.count_if(F.col("_v").isNull()).alias("unknown_tokens")
     )
     return records.join(ids, key, "left")
 
