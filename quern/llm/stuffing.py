@@ -54,63 +54,63 @@ class WordHash(dict):
 
 
 def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Words in order, with a mark and the number of their segment (sentence or line)."""
+    """Words in order; the number of words and the mark of each segment (sentence, line or link)."""
     words: list[str] = []
+    counts: list[int] = []
     marks: list[int] = []
-    segments: list[int] = []
-    segment, diff = 0, False
+    diff = False
     for line in text.split("\n"):
+        if not line:
+            diff = False
+            continue
         diff = line.startswith(("diff --git ", "@@ ")) or (diff and line.startswith((" ", "+", "-", "@")))
         if diff or OUTPUT.match(line):
             own = WORD.findall(line.lower())
             words += own
-            marks += [EXEMPT] * len(own)
-            segments += [segment] * len(own)
-            segment += 1
+            counts.append(len(own))
+            marks.append(EXEMPT)
             continue
         linked = "://" in line or "#" in line or "<" in line or "www." in line or "](" in line
         for k, part in enumerate(LINK.split(line) if linked else (line,)):
-            for sentence in (part,) if k % 2 else SENTENCE.split(part):
-                own = WORD.findall(sentence.lower())
-                if not own:
-                    continue
-                if k % 2:
-                    mark = LINKED
-                else:
-                    running = len(own) >= LEAST and len(set(own)) >= VARIED * len(own) and len(SEPARATOR.findall(sentence)) <= LISTED * len(own)
-                    mark = WRITTEN if running else PLAIN
+            if k % 2:
+                own = WORD.findall(part.lower())
                 words += own
-                marks += [mark] * len(own)
-                segments += [segment] * len(own)
-                segment += 1
-    return words, marks, segments
+                counts.append(len(own))
+                marks.append(LINKED)
+                continue
+            for sentence in SENTENCE.split(part):
+                own = WORD.findall(sentence.lower())
+                n = len(own)
+                if n:
+                    words += own
+                    counts.append(n)
+                    marks.append(WRITTEN if n >= LEAST and len(set(own)) >= VARIED * n and len(SEPARATOR.findall(sentence)) <= LISTED * n else PLAIN)
+    return words, counts, marks
 
 
 class Block:
-    """The words of some documents as arrays: hash, document and their pairs; if marked, mark, segment and length too."""
+    """The words of some documents as arrays: hash, document and their pairs; if marked, mark and length too."""
 
     def __init__(self, texts: list[str | None], cache: WordHash, marked: bool = True) -> None:
         h: list[np.ndarray] = []
-        marks: list[int] = []
-        lengths: list[int] = []
+        lengths: list[np.ndarray] = []
         counts: list[int] = []
-        segments: list[np.ndarray] = []
-        last = 0
+        parts: list[int] = []
+        marks: list[int] = []
         for text in texts:
             if marked:
-                words, own, parts = marked_words(text) if text else ([], [], [])
+                words, sizes, own = marked_words(text) if text else ([], [], [])
+                parts += sizes
                 marks += own
-                lengths += map(len, words)
-                segments.append(np.array(parts, np.int64) + last)
-                last += parts[-1] + 1 if parts else 0
+                lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
             else:
                 words = WORD.findall(text.lower()) if text else []
             h.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
             counts.append(len(words))
         self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
         if marked:
-            self.mark, self.length = np.array(marks, np.int8), np.array(lengths, np.int32)
-            self.segment = np.concatenate(segments) if segments else np.empty(0, np.int64)
+            self.mark = np.repeat(np.array(marks, np.int8), np.array(parts, np.int64))
+            self.length = np.concatenate(lengths) if lengths else np.empty(0, np.int32)
         self.docs, self.counts = len(texts), np.array(counts)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         inside = self.doc[1:] == self.doc[:-1] if len(self.doc) else np.empty(0, bool)
