@@ -85,12 +85,15 @@ def similar_classes(ch: DataFrame) -> DataFrame:
     shared = materialize(suffixes.drop("paths").join(weight, "span"), "spans")
     plain = _candidates(shared.where("not hot").drop("hot"), ["span"])
     # In a hot span the rest of both sets must share ceil(0.8 n) - SPAN paths or more, so the prefix
-    # filter applies to the rest: one of its first n - ceil(0.8 n) + 1 paths is common.
+    # filter applies to the rest in any fixed order: one of its first n - ceil(0.8 n) + 1 paths is
+    # common. The order is the span's own, its rarest paths first.
     n = F.col("n")
     rest = F.concat(F.slice("paths", F.lit(1), F.col("at")), F.slice("paths", F.col("at") + SPAN + 1, n))
-    hot = shared.where("hot").drop("hot").join(classes.select("cls", "paths"), "cls")
-    first = F.slice(rest, F.lit(1), (n - F.ceil(n * 4 / 5) + 1).cast("int"))
-    hot = hot.withColumn("also", F.explode(first)).drop("paths")
+    each = shared.where("hot").drop("hot").join(classes.select("cls", "paths"), "cls").withColumn("also", F.explode(rest)).drop("paths")
+    held_by = each.groupBy("span", "also").agg(F.count(F.lit(1)).alias("k"))
+    ordered = each.join(held_by, ["span", "also"]).groupBy("span", "cls").agg(*[F.first(c).alias(c) for c in ("dev", "held", "n", "at")], F.array_sort(F.collect_list(F.struct("k", "also"))).alias("rest"))
+    first = F.slice("rest", F.lit(1), (n - F.ceil(n * 4 / 5) + 1).cast("int"))
+    hot = ordered.withColumn("also", F.explode(F.transform(first, lambda x: x["also"]))).drop("rest")
     pairs = plain.unionByName(_candidates(hot, ["span", "also"], SALTS)).distinct()
     paths = classes.select("cls", "paths")
     common = F.size(F.array_intersect("p_dev", "p_held"))
