@@ -27,6 +27,7 @@ def session(app: str = "quern", master: str | None = None, **conf: str) -> Spark
 
 
 _LOCAL: list[str] = []
+_TABLES: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -54,4 +55,15 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{os.getpid()}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process has materialized; results that still read them must be written first."""
+    paths, done = _TABLES[:], 0
+    _TABLES.clear()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        done += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return done

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import errno
+import os
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "repo string, rank int, commit string, parents array<string>, committed_at string, subject string, changed_paths array<string>, diff_stat string, stat_scope string, diff string"
@@ -65,3 +68,24 @@ class GitCommits(DataSource):
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
         return _Reader(dict(self.options))
+
+
+def probe(rows: DataFrame, key: str, repo: str, revisions: list[str]) -> DataFrame:
+    """(key, problem): rows whose repository folder or one of whose revisions isn't there; problem says which."""
+
+    def missing(path: str | None, names: list[str | None]) -> str | None:
+        if not path or not os.path.isdir(path):
+            return "no repository"
+        for n in names:
+            if not n or subprocess.run(["git", "-C", path, "cat-file", "-e", n + "^{commit}"], capture_output=True, check=False).returncode:
+                return f"no revision {n}"
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [missing(r[0], list(r[1:])) for r in pdf[[repo, *revisions]].itertuples(index=False)]
+            out = pd.DataFrame({key: pdf[key], "problem": found})
+            yield out[out["problem"].notna()]
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, repo, *revisions).mapInPandas(run, f"{key} {kind}, problem string")
