@@ -43,22 +43,25 @@ def merge_inputs(inputs: list[DataFrame], primary: str, secondary: str, order: s
     """(kept, report): inputs in turn, each row kept unless its primary or secondary key was kept before.
 
     A skipped row registers neither key, so a row depends on all earlier rows that share a key with
-    it, directly or not. Where every primary has one secondary and the reverse, the first row of each
-    primary is the answer. Otherwise rows that may depend on each other are brought together by
-    passing on the smallest label along shared keys, and only these groups are folded in order. The
-    report has (input, rows, kept, skipped).
+    it, directly or not. Of a primary and a secondary that only go with each other the first row is
+    kept. The other rows are brought together by passing on the smallest label along shared keys, and
+    only these groups are folded in order. Rows without one of the keys are left out. The report has
+    (input, rows, kept, skipped).
     """
     rows = None
     for i, df in enumerate(inputs):
         one = df.withColumn("_input", F.lit(i))
         rows = one if rows is None else rows.unionByName(one)
     rows = materialize(rows.withColumn("_at", F.struct("_input", order)), "merge")
-    ambiguous = lambda a, b: rows.groupBy(a).agg(F.count_distinct(b).alias("k")).where("k > 1").limit(1)
-    if not ambiguous(primary, secondary).count() and not ambiguous(secondary, primary).count():
-        at = rows.groupBy(primary).agg(F.min("_at").alias("_first"))
-        kept = rows.join(at, primary).where(F.col("_at") == F.col("_first")).drop("_first")
-    else:
-        keys = rows.select("_input", order, F.col(primary).alias("p"), F.col(secondary).alias("s"))
+    several = lambda a, b: rows.groupBy(a).agg((F.min(b) != F.max(b)).alias(f"_several_{a}"))
+    marked = rows.join(several(primary, secondary), primary).join(several(secondary, primary), secondary)
+    marked = materialize(marked.withColumn("_tangled", F.col(f"_several_{primary}") | F.col(f"_several_{secondary}")).select(*rows.columns, "_tangled"), "marked")
+    plain = marked.where("not _tangled").drop("_tangled")
+    at = plain.groupBy(primary).agg(F.min("_at").alias("_first"))
+    kept = plain.join(at, primary).where(F.col("_at") == F.col("_first")).select(*rows.columns)
+    tangled = marked.where("_tangled").drop("_tangled")
+    if tangled.limit(1).count():
+        keys = tangled.select("_input", order, F.col(primary).alias("p"), F.col(secondary).alias("s"))
         label = materialize(keys.withColumn("label", F.xxhash64("p")), "label")
         while True:
             low_p = label.groupBy("p").agg(F.min("label").alias("lp"))
@@ -82,7 +85,7 @@ def merge_inputs(inputs: list[DataFrame], primary: str, secondary: str, order: s
             return pdf.loc[keep, ["_input", order]]
 
         chosen = label.groupBy("label").applyInPandas(fold, f"_input int, {order} {dict(rows.dtypes)[order]}")
-        kept = rows.join(chosen, ["_input", order], "left_semi")
+        kept = kept.unionByName(tangled.join(chosen, ["_input", order], "left_semi"))
     kept = materialize(kept.drop("_at"), "kept")
     report = rows.groupBy(F.col("_input").alias("input")).agg(F.count(F.lit(1)).alias("rows"))
     got = kept.groupBy(F.col("_input").alias("input")).agg(F.count(F.lit(1)).alias("kept"))

@@ -74,39 +74,42 @@ def features(rows: DataFrame, key: str, paths: str = "changed_paths") -> DataFra
     return d.select(key, "total", F.explode("f").alias("feature")).groupBy(key, "feature").agg((F.count(F.lit(1)) / F.first("total")).alias("value"))
 
 
-def train_softmax(rows: DataFrame, key: str, kind: str, paths: str = "changed_paths", epochs: int = 25, rate: float = 0.35, l2: float = 1e-4, limit: int = 200_000) -> DataFrame:
+def train_softmax(rows: DataFrame, key: str, kind: str, paths: str = "changed_paths", epochs: int = 25, rate: float = 0.35, l2: float = 1e-4, limit: int = 1_000_000) -> DataFrame:
     """(feature, weights array<double> in the order of TYPES): sequential gradient steps over rows sorted by key.
 
-    Each step depends on the one before, so the fold runs in one task; `limit` bounds its rows and a
-    larger training set is refused, not sampled. The feature "" holds the biases, "loss" the mean
-    loss of every epoch.
+    Each step depends on the one before, so the fold runs in one task, on hashes of features instead
+    of their names; `limit` bounds its rows and a larger training set is refused, not sampled. The
+    feature "" holds the biases, "loss" the mean loss of every epoch.
     """
-    f = features(rows, key, paths)
-    packed = f.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "value")))).alias("features")).join(rows.select(key, F.col(kind).alias("_kind")), key)
+    f = features(rows, key, paths).withColumn("h", F.xxhash64("feature"))
+    packed = f.groupBy(key).agg(F.collect_list("h").alias("h"), F.collect_list("value").alias("v")).join(rows.select(key, F.col(kind).alias("_kind")), key)
     n = rows.count()
     if n > limit:
         raise ValueError(f"{n} rows are more than one task folds ({limit})")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        examples = [(sorted(dict(x).items()), TYPES.index(k)) for x, k in zip(pdf["features"], pdf["_kind"], strict=True)]
-        ids = {name: i for i, name in enumerate(sorted({name for x, _ in examples for name, _ in x}))}
-        data = [(np.array([ids[n] for n, _ in x]), np.array([v for _, v in x]), t) for x, t in examples]
+        ids, at = np.unique(np.concatenate(pdf["h"].tolist()), return_inverse=True)
+        ends = np.cumsum([len(x) for x in pdf["h"]])
+        data = [(at[e - len(v) : e], np.asarray(v), TYPES.index(k)) for e, v, k in zip(ends, pdf["v"], pdf["_kind"], strict=True)]
         w, bias, history = np.zeros((len(ids), len(TYPES))), np.zeros(len(TYPES)), []
         for _ in range(epochs):
             loss = 0.0
-            for at, value, target in data:
-                logits = bias + value @ w[at]
+            for own, value, target in data:
+                logits = bias + value @ w[own]
                 p = np.exp(logits - logits.max())
                 p /= p.sum()
                 loss -= math.log(max(p[target], 1e-12))
                 p[target] -= 1.0
                 bias -= rate * p
-                w[at] -= rate * (value[:, None] * p + l2 * w[at])
+                w[own] -= rate * (value[:, None] * p + l2 * w[own])
             history.append(loss / max(1, len(data)))
-        return pd.DataFrame({"feature": ["", "loss", *ids], "weights": [bias.tolist(), history, *w.tolist()]})
+        hashes = pd.array([None, None, *ids.tolist()], dtype="Int64")  # a plain list would become floats
+        return pd.DataFrame({"h": hashes, "special": ["", "loss", *[None] * len(ids)], "weights": [bias.tolist(), history, *w.tolist()]})
 
-    return packed.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fold, "feature string, weights array<double>")
+    out = packed.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(fold, "h bigint, special string, weights array<double>")
+    names = f.select("h", "feature").distinct()
+    return out.join(names, "h", "left").select(F.coalesce("special", "feature").alias("feature"), "weights")
 
 
 def predict_softmax(rows: DataFrame, model: DataFrame, key: str, paths: str = "changed_paths") -> DataFrame:

@@ -116,6 +116,7 @@ def test_models(spark):
     got = {r["id"]: (r["predicted"], r["subject"]) for r in models.predict_path_types(new, models.train_path_types(train), "id").collect()}
     assert got == {"x": ("docs", "update docs documentation"), "y": ("fix", "handle parser behavior"), "z": ("docs", "update q documentation"), "n": ("docs", "update project documentation")}
     model = models.train_softmax(train, "id", "type", epochs=6).cache()
+    assert {r["feature"] for r in model.collect()} == {"", "loss", *(r["feature"] for r in models.features(train, "id").select("feature").distinct().collect())}
     loss = model.where("feature = 'loss'").first()["weights"]
     assert loss[-1] < loss[0] and len(model.where("feature = ''").first()["weights"]) == len(TYPES)
     got = {r["id"]: r["predicted"] for r in models.predict_softmax(new, model, "id").collect()}
