@@ -46,12 +46,19 @@ def path_tokens(path: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(p, "/", " / "), r"[ ._-]+"), lambda t: t != "")
 
 
-def winnow(tokens: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """Fingerprints (sorted hashes): of every w neighbouring k-grams the smallest; a shorter stream is one k-gram."""
-    count = F.greatest(F.size(tokens) - k + 1, F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))
-    windows = F.sequence(F.lit(1), F.greatest(count - w + 1, F.lit(1)))
-    return F.array_distinct(F.transform(windows, lambda i: F.array_min(F.slice(grams, i, F.lit(w)))))
+def with_fingerprints(df: DataFrame, path: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+    """Adds out: of every w neighbouring hashed k-grams of the path's tokens the smallest; a shorter stream is one k-gram.
+
+    Tokens and k-grams are columns of their own, so that no window computes them again.
+    """
+    d = df.withColumn("_tokens", path_tokens(F.col(path)))
+    count = F.greatest(F.size("_tokens") - k + 1, F.lit(1))
+    d = d.withColumn("_grams", F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("_tokens", i, F.lit(k)))))
+    least = F.col("_grams")
+    for j in range(1, w):
+        least = F.zip_with(least, F.slice("_grams", F.lit(j + 1), F.size("_grams")), lambda a, b: F.least(a, b))
+    cut = F.slice(least, F.lit(1), F.greatest(F.size("_grams") - w + 1, F.lit(1)))
+    return d.withColumn(out, F.array_distinct(cut)).drop("_tokens", "_grams")
 
 
 def path_kind(path: Column) -> Column:
@@ -94,7 +101,7 @@ def recurring(files: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_R
     A fingerprint recurs if `least` repositories or more hold it. Counting repositories per
     fingerprint combines before the shuffle; a hot fingerprint is one row per task then.
     """
-    prints = files.where("repo is not null").distinct().select("repo", "path", F.explode(winnow(path_tokens(F.col("path")))).alias("print"))
+    prints = with_fingerprints(files.where("repo is not null").select("repo", "path").distinct(), "path", "_prints").select("repo", "path", F.explode("_prints").alias("print"))
     held = prints.select("print", "repo").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("repos"))
     many = held.where(F.col("repos") >= least).select("print")
     own = prints.select("path", "print").distinct()
