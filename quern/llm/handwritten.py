@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.columns import norm_path, repo_key, valid_rows
 from quern.functions.globs import globs_regex
+from quern.session import materialize
 
 #: k-gram length, k-grams per window, and when fingerprints recur: the share of a path's own, the number of repositories.
 GRAM, WINDOW, RECUR_SHARE, RECUR_REPOS = 4, 2, 0.8, 20
@@ -101,7 +102,9 @@ def recurring(files: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_R
     A fingerprint recurs if `least` repositories or more hold it. Counting repositories per
     fingerprint combines before the shuffle; a hot fingerprint is one row per task then.
     """
-    prints = with_fingerprints(files.where("repo is not null").select("repo", "path").distinct(), "path", "_prints").select("repo", "path", F.explode("_prints").alias("print"))
+    prints = with_fingerprints(files.where("repo is not null").select("repo", "path").distinct(), "path", "_prints")
+    # an inner explode would have the array computed again in an inferred filter; both uses read one table
+    prints = materialize(prints.select("repo", "path", F.explode_outer("_prints").alias("print")), "prints")
     held = prints.select("print", "repo").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("repos"))
     many = held.where(F.col("repos") >= least).select("print")
     own = prints.select("path", "print").distinct()
