@@ -29,7 +29,7 @@ def subject(kind: Column, about: Column, table: dict[str, str] = SUBJECTS) -> Co
 
 def train_path_types(rows: DataFrame, paths: str = "changed_paths", kind: str = "type") -> DataFrame:
     """(token, type, n): how often a path token goes with a type, repeats counted; token null has the types' own counts."""
-    pairs = rows.select(F.explode(tokens(F.col(paths))).alias("token"), F.col(kind).alias("type")).groupBy("token", "type").agg(F.count(F.lit(1)).alias("n"))
+    pairs = rows.select(F.explode_outer(tokens(F.col(paths))).alias("token"), F.col(kind).alias("type")).where("token is not null").groupBy("token", "type").agg(F.count(F.lit(1)).alias("n"))
     own = rows.groupBy(F.col(kind).alias("type")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("string").alias("token"), "type", "n")
     return pairs.unionByName(own)
 

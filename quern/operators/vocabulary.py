@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from quern.functions.tokens import SPECIAL, decision
 
 
+def exploded(records: DataFrame, tokens: str, *columns: str) -> DataFrame:
+    """(columns, token). Outer and then filtered: an inner explode computes its array again in an inferred filter."""
+    return records.select(*columns, F.explode_outer(tokens).alias("token")).where("token is not null")
+
+
 def token_counts(records: DataFrame, tokens: str = "tokens") -> DataFrame:
-    return records.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    return exploded(records, tokens).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def build(counts: DataFrame, size: int = 32_000, least: int = 2) -> DataFrame:
@@ -30,7 +35,7 @@ def build(counts: DataFrame, size: int = 32_000, least: int = 2) -> DataFrame:
 def coverage(records: DataFrame, vocabulary: DataFrame, split: str = "data_split", tokens: str = "tokens") -> DataFrame:
     """(split, records, tokens, known, unknown, known_fraction). Counts per split and token before the join."""
     sizes = records.groupBy(split).agg(F.count(F.lit(1)).alias("records"))
-    per = records.select(split, F.explode(tokens).alias("token")).groupBy(split, "token").agg(F.count(F.lit(1)).alias("n"))
+    per = exploded(records, tokens, split).groupBy(split, "token").agg(F.count(F.lit(1)).alias("n"))
     hit = per.join(vocabulary.select("token", "id"), "token", "left").groupBy(split).agg(F.sum("n").alias("tokens"), F.coalesce(F.sum(F.when(F.col("id").isNotNull(), F.col("n"))), F.lit(0)).alias("known"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
     out = sizes.join(hit, split, "left").select(split, "records", zero("tokens").alias("tokens"), zero("known").alias("known"))

@@ -55,7 +55,7 @@ def top_errors(s: SparkSession, d: str) -> DataFrame:
 
 
 def path_tokens(s: SparkSession, d: str) -> DataFrame:
-    rows = label(s, d, "changed_paths").select(F.explode(paths.tokens(F.col("changed_paths"))).alias("token"))
+    rows = label(s, d, "changed_paths").select(F.explode_outer(paths.tokens(F.col("changed_paths"))).alias("token")).where("token is not null")
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
