@@ -1,7 +1,8 @@
 """Problem 10: keyword-stuffed and link-list pages, by word association from corpus counts.
 
 1. Documents are spread over blocks of bounded size by hash. Every block counts its words and pairs
-   of neighbouring words; all blocks' counts are added up over the whole corpus.
+   of neighbouring words; all blocks' counts are added up over the whole corpus. Every distinct text
+   counts once, in the first block that has it: copies of a page don't make its phrases common.
 2. Each block gets back the totals of its own words and pairs where they differ from its counts.
 3. Per document, pointwise mutual information of neighbours is averaged over a sliding window: a
    window far below coherent text is word salad. A pair that comes three times or more within SPAN
@@ -119,8 +120,20 @@ class Block:
         self.word = self.hash & ~np.uint64(1)  # words are even, pairs are odd
 
 
-def count_block(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([block.word, block.pair]), return_counts=True)
+def count_block(block: Block, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Words and pairs, and how often they come; only: the documents to count, by number."""
+    word, pair = block.word, block.pair
+    if only is not None:
+        word, pair = word[only[block.doc]], pair[only[block.doc[block.first]]]
+    return np.unique(np.concatenate([word, pair]), return_counts=True)
+
+
+def distinct_texts(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    """For each row the number of its text, and the rows that have each text first."""
+    at, texts = pd.factorize(pdf["_text"].fillna(""))
+    first = np.full(len(texts), len(at))
+    np.minimum.at(first, at, np.arange(len(at)))
+    return at, pdf.iloc[first]
 
 
 def _window_mean(values: np.ndarray, group: np.ndarray, size: int) -> np.ndarray:
@@ -179,34 +192,48 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
 
     Null, empty and blank texts have no words and are not stuffed. Repeated keys are documents of
     their own. No document is cut; a block holds about `block` documents. Corpus counts are exact
-    over all documents, and a pair of words that only one block holds never travels twice.
+    over all distinct texts, and a pair of words that only one block holds never travels twice.
     """
     docs = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     blocks = max(1, -(-docs.count() // block))
-    docs = docs.withColumn("_block", F.pmod(F.xxhash64("_key", F.length("_text")), F.lit(blocks)).cast("int"))
+    docs = docs.withColumn("_block", F.pmod(F.xxhash64("_key", F.length("_text")), F.lit(blocks)).cast("int")).withColumn("_hash", F.xxhash64("_text"))
     kind = docs.schema["_key"].dataType.simpleString()
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, n = count_block(Block(pdf["_text"].tolist(), WordHash(), False))
-        return pd.DataFrame({"_block": pdf["_block"].iloc[0], "h": keys.view(np.int64), "n": n.astype(np.int64)})
-
-    counts = materialize(docs.groupBy("_block").applyInPandas(count, "_block int, h bigint, n bigint"), "counts")
+    # texts that an earlier block counts: a text has at most one row per block here, however many copies there are
+    places = docs.select("_hash", "_block").distinct()
+    places = places.join(places.groupBy("_hash").agg(F.min("_block").alias("_least")), "_hash").where("_block > _least").select(F.col("_block").alias("_at"), F.col("_hash").alias("_h"))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"_block": [], "h": [], "n": [], "seen": []})
+        _, texts = distinct_texts(left)
+        own = Block(texts["_text"].tolist(), WordHash(), False)
+        keys, seen = count_block(own)
+        n = seen.copy()
+        elsewhere = texts["_hash"].isin(right["_h"]).to_numpy()
+        if elsewhere.any():
+            less, m = count_block(own, elsewhere)
+            n[np.searchsorted(keys, less)] -= m
+        return pd.DataFrame({"_block": left["_block"].iloc[0], "h": keys.view(np.int64), "n": n.astype(np.int64), "seen": seen.astype(np.int64)})
+
+    counted = docs.groupBy("_block").cogroup(places.groupBy("_at")).applyInPandas(count, "_block int, h bigint, n bigint, seen bigint")
+    counts = materialize(counted, "counts")
     odd = F.col("h").bitwiseAND(1)
     size = counts.groupBy(odd.alias("odd")).agg(F.sum("n").alias("n")).collect()  # two rows
     sizes = {r["odd"]: float(r["n"]) for r in size}
     totals = counts.groupBy("h").agg(F.sum("n").alias("total"))
-    back = counts.join(totals, "h").where("total > n").select("_block", "h", "total")
+    back = counts.join(totals, "h").where("total <> seen").select("_block", "h", "total")
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own = Block(left["_text"].tolist(), WordHash())
+        at, texts = distinct_texts(left)
+        own = Block(texts["_text"].tolist(), WordHash())
         keys, n = count_block(own)
         total = n.astype(np.int64)
         total[np.searchsorted(keys, right["h"].to_numpy(np.int64).view(np.uint64))] = right["total"].to_numpy(np.int64)
-        out = score_block(own, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0))
+        out = score_block(own, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0)).iloc[at].reset_index(drop=True)
         out.insert(0, "_key", left["_key"].to_numpy())
         return out
 
-    paired = docs.groupBy("_block").cogroup(back.groupBy("_block"))
+    paired = docs.drop("_hash").groupBy("_block").cogroup(back.groupBy("_block"))
     out = paired.applyInPandas(score, f"_key {kind}, stuffed double, association double, words bigint")
     return out.withColumnRenamed("_key", key)
 

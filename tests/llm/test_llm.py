@@ -337,3 +337,16 @@ def test_stuffing_marks_lists_and_salad(spark):
     assert stuffing.found(df.limit(0)).count() == 0
     again = {r[0] for r in stuffing.scores(df, block=40).where("stuffed > 0.5").collect()}
     assert again == got
+
+
+def test_stuffing_finds_a_page_copied_over_a_third_of_the_rows(spark):
+    rng = random.Random(9)
+    nouns = [f"noun{i}" for i in range(200)]
+    sentence = lambda: f"The {rng.choice(nouns)} keeps its old {rng.choice(nouns)} because the {rng.choice(nouns)} was moved before the {rng.choice(nouns)} could start."
+    good = [" ".join(sentence() for _ in range(8)) for _ in range(300)]
+    page = ", ".join(["best git hooks", "free git hooks", "cheap code search"] * 20)
+    df = spark.createDataFrame(list(enumerate([*good, *[page] * 150])), "doc_id bigint, text string")
+    for block in (4000, 40):
+        scored = stuffing.scores(df, block=block).collect()
+        assert len(scored) == 450
+        assert {r["doc_id"] for r in scored if r["stuffed"] > 0.5} == set(range(300, 450))
