@@ -34,8 +34,13 @@ SHARE = 0.5
 
 WORD = re.compile(r"[^\W_]+")
 LINK = re.compile(r"(<[^<>]{1,2000}>|\b(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+|(?<!\S)#[^\W\d_][\w-]*|(?<!\S)\[\[?[^\[\]\n]{1,200}\]\]?\([^()\s]*\))")
-#: Lines that are log, diff or code output: a time stamp, a level, a diff marker, an indented statement.
-OUTPUT = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\s*\[?\d\d:\d\d:\d\d\b|\s*\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)\b|diff --git |index [0-9a-f]{7,}|@@ |(?:\+\+\+|---) |[+-](?: {2,}|\t)\S|(?: {4,}|\t)\S.*[;:{}()=]")
+#: Lines that are log or diff output: a time stamp, a level, a diff marker.
+OUTPUT = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\s*\[?\d\d:\d\d:\d\d\b|\s*\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)\b|diff --git |index [0-9a-f]{7,}|@@ |(?:\+\+\+|---) ")
+#: Indented or added and removed statements, and what one must still have when its line had links, tags or entities:
+#: a brace, an assignment, a call, a semicolon at the end, a quoted or plain key, a comment sign. A bullet is no minus sign.
+CODE = re.compile(r"(?:[+-](?: {2,}|\t)|(?: {4,}|\t))\S.*[;:{}()=]|[+-](?: {2,}|\t)\s*(?:#|//)\s")
+CODE_LEFT = re.compile(r"[+-]?\s+(?:#\s|//|/\*|[-\s]*[a-z_][\w.-]*:(?:\s|$)|.*(?:[{}=]|\w\(|;\s*$|[\"']:))")
+ENTITY = re.compile(r"&#?\w+;")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 SEPARATOR = re.compile(r"[,;:>|/()•·*#=–—]|(?<=\s)-(?=\s)")
 #: A written sentence has at least so many words, so varied, and so few separators a word.
@@ -44,6 +49,16 @@ EXEMPT, PLAIN, LINKED, WRITTEN = 0, 1, 2, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def is_code(line: str, linked: bool) -> bool:
+    """If the line is an indented or changed statement; links, tags and entities in it don't count."""
+    if not CODE.match(line):
+        return False
+    if not linked and "&" not in line:
+        return True
+    rest = ENTITY.sub("", LINK.sub("", line) if linked else line)
+    return rest == line or bool(CODE_LEFT.match(rest))
+
+
 class WordHash(dict):
     """64-bit hashes of words, numbers as one class; forgets itself when it has grown large."""
 
@@ -65,13 +80,13 @@ def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
             diff = False
             continue
         diff = line.startswith(("diff --git ", "@@ ")) or (diff and line.startswith((" ", "+", "-", "@")))
-        if diff or OUTPUT.match(line):
+        linked = "://" in line or "#" in line or "<" in line or "www." in line or "](" in line
+        if diff or OUTPUT.match(line) or is_code(line, linked):
             own = WORD.findall(line.lower())
             words += own
             counts.append(len(own))
             marks.append(EXEMPT)
             continue
-        linked = "://" in line or "#" in line or "<" in line or "www." in line or "](" in line
         for k, part in enumerate(LINK.split(line) if linked else (line,)):
             if k % 2:
                 own = WORD.findall(part.lower())

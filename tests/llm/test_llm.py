@@ -350,3 +350,22 @@ def test_stuffing_finds_a_page_copied_over_a_third_of_the_rows(spark):
         scored = stuffing.scores(df, block=block).collect()
         assert len(scored) == 450
         assert {r["doc_id"] for r in scored if r["stuffed"] > 0.5} == set(range(300, 450))
+
+
+@pytest.mark.parametrize("line", ["    - [x{0}](https://shop-{0}.example/p)", "\t<li><a href=\"/p/{0}\">shoes &amp; boots</a></li>", "    https://shop-{0}.example/p", "    - Shop {0}: https://shop-{0}.example/p", "-   cheap boots", "+\tcheap boots"])
+def test_indented_links_and_padded_bullets_are_not_code(line):
+    words, sizes, marks = stuffing.marked_words(line.format(7))
+    assert words and stuffing.EXEMPT not in marks
+
+
+@pytest.mark.parametrize("line", ["    \"resolved\": \"https://registry.example/a.tgz\",", "    url: https://a.example/b", "    // see https://a.example/b", "\tlet x = get(\"https://a.example/b\");", "    List<String> names = read();", "+    value = table[index]", "    if (a && b) {", "2025-01-01T00:00:00Z GET https://a.example/b"])
+def test_code_and_logs_with_links_are_exempt(line):
+    assert stuffing.marked_words(line)[2] == [stuffing.EXEMPT]
+
+
+def test_a_page_of_indented_links_is_found(spark):
+    pages = ["\n".join(f"    - [item {i}](https://shop-{i}.example/p)" for i in range(40)), "\n".join(["-   cheap git hooks", "-   best git hooks"] * 30)]
+    rng = random.Random(4)
+    good = [" ".join(f"word{rng.randrange(300)}" for _ in range(12)) for _ in range(2)] + [" ".join(f"The noun{i} keeps its old noun{j} because noun{k} was moved." for i, j, k in [(rng.randrange(90), rng.randrange(90), rng.randrange(90)) for _ in range(12)]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate([*pages, *good])), "doc_id bigint, text string")
+    assert {0, 1} <= {r[0] for r in stuffing.found(df).collect()}
