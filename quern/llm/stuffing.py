@@ -30,6 +30,8 @@ BLOCK, WINDOW, SALAD = 4000, 24, 1.2
 TIMES, SPAN, EXCESS = 3, 50, 8.0
 #: The same outside written sentences, in lists.
 TIMES_LISTED, SPAN_LISTED = 2, 120
+#: A sentence counts as written up to so many repetitions of its pairs in the document.
+REPEATED = 2 * TIMES
 SHARE = 0.5
 
 WORD = re.compile(r"[^\W_]+")
@@ -126,6 +128,7 @@ class Block:
         self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
         if marked:
             self.mark = np.repeat(np.array(marks, np.int8), np.array(parts, np.int64))
+            self.segment = np.repeat(np.arange(len(parts)), np.array(parts, np.int64))
             self.length = np.concatenate(lengths) if lengths else np.empty(0, np.int32)
         self.docs, self.counts = len(texts), np.array(counts)
         self.doc = np.repeat(np.arange(len(texts)), counts)
@@ -175,20 +178,34 @@ def score_block(block: Block, key: np.ndarray, total: np.ndarray, words: float,
     # word salad: both words of a pair whose surroundings are incoherent
     low = _window_mean(pmi, group, WINDOW) < SALAD
     stuffed[block.first[low]] = stuffed[block.first[low] + 1] = True
-    written = (block.mark == WRITTEN) & ~stuffed
-    # collocations repeated to excess: `times` of one pair in a document within `span` words, outside written sentences
-    some = np.flatnonzero(~(written[block.first] & written[block.first + 1]))
-    k, p, d = block.pair[some], block.first[some], group[some]
-    order = np.argsort(k ^ (d.astype(np.uint64) * MIX), kind="stable")  # positions stay ascending
-    k, p, d, often = k[order], p[order], d[order], pair[some][order]
-    for times, span, where in ((TIMES, SPAN, ~written), (TIMES_LISTED, SPAN_LISTED, block.mark == PLAIN)):
-        n = len(k) - times + 1
-        if n <= 0:
-            continue
-        dense = (k[:n] == k[times - 1 :]) & (d[:n] == d[times - 1 :]) & (p[times - 1 :] - p[:n] <= span)
-        dense &= EXCESS * span * often[:n] / pairs < times
+    # all pairs, in the order of pair, document and position
+    order = np.argsort(block.pair ^ (group.astype(np.uint64) * MIX), kind="stable")
+    k, p, d, often = block.pair[order], block.first[order], group[order], pair[order]
+
+    def dense(times: int, span: int) -> np.ndarray:
+        """Where in this order a pair comes the first of `times` times within `span` words, far more often than expected."""
+        n = max(0, len(k) - times + 1)
+        close = (k[:n] == k[times - 1 :]) & (d[:n] == d[times - 1 :]) & (p[times - 1 :] - p[:n] <= span)
+        return np.flatnonzero(close & (EXCESS * span * often[:n] / pairs < times))
+
+    # a sentence most of whose own pairs repeat to excess, and REPEATED times in the document, is no written one
+    edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]), [True]])) if len(k) else np.zeros(1, np.int64)
+    count = np.repeat(np.diff(edge), np.diff(edge))
+    often_here = np.zeros(len(block.hash), bool)
+    here = dense(TIMES, SPAN)
+    here = here[count[here] >= REPEATED]
+    for j in range(TIMES):
+        often_here[p[here + j]] = True
+    own = block.first[block.segment[block.first] == block.segment[block.first + 1]]
+    parts = int(block.segment[-1]) + 1 if len(block.segment) else 0
+    repeats = 2 * np.bincount(block.segment[own], often_here[own], parts) > np.bincount(block.segment[own], minlength=parts)
+    mark = np.where((block.mark == WRITTEN) & repeats[block.segment], PLAIN, block.mark)
+    written = (mark == WRITTEN) & ~stuffed
+    # collocations repeated to excess: `times` of one pair in a document within `span` words; all count, none is marked in written sentences
+    for times, span, where in ((TIMES, SPAN, ~written), (TIMES_LISTED, SPAN_LISTED, mark == PLAIN)):
+        here = dense(times, span)
         for j in range(times):
-            at = p[np.flatnonzero(dense) + j]
+            at = p[here + j]
             at = np.concatenate([at, at + 1])
             stuffed[at[where[at]]] = True
     stuffed |= block.mark == LINKED

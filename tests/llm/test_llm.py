@@ -369,3 +369,16 @@ def test_a_page_of_indented_links_is_found(spark):
     good = [" ".join(f"word{rng.randrange(300)}" for _ in range(12)) for _ in range(2)] + [" ".join(f"The noun{i} keeps its old noun{j} because noun{k} was moved." for i, j, k in [(rng.randrange(90), rng.randrange(90), rng.randrange(90)) for _ in range(12)]) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate([*pages, *good])), "doc_id bigint, text string")
     assert {0, 1} <= {r[0] for r in stuffing.found(df).collect()}
+
+
+def test_repetition_counts_in_written_sentences_too():
+    rng = random.Random(5)
+    good = [" ".join(f"The noun{rng.randrange(90)} keeps its old noun{rng.randrange(90)} because noun{rng.randrange(90)} was moved." for _ in range(12)) for _ in range(900)]
+    lines = "\n".join(["cheap red running shoes outlet deals"] * 200)
+    written = "cheap red running shoes outlet deals today online now"
+    mixed = "\n".join([written, written, written.replace(" ", ", ")])  # the written lines count for the list
+    block = stuffing.Block([*good, lines, mixed], stuffing.WordHash())
+    keys, total = stuffing.count_block(block)
+    words, pairs = (float(total[(keys & np.uint64(1)) == odd].sum()) for odd in (0, 1))
+    share = stuffing.score_block(block, keys, total, words, pairs)["stuffed"].to_numpy()
+    assert share[:900].max() == 0 and share[900] > 0.9 and 0.25 < share[901] < 0.5
