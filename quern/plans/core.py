@@ -216,7 +216,7 @@ def softmax_types(s: SparkSession, d: str) -> DataFrame:
 
 
 def margin_weights(s: SparkSession, d: str) -> DataFrame:
-    rows = _streams(s, d).where("data_split = 'REPORT'").select(F.xxhash64("id").alias("_ord"), "user", "reply")
+    rows = _streams(s, d).where("data_split = 'DEV'").select(F.xxhash64("id").alias("_ord"), "user", "reply")
     rows = rows.withColumn("a", tokens.tokenize(F.col("reply")))
     ids = F.transform("a", lambda t: F.pmod(F.xxhash64(t), F.lit(32_000)).cast("int"))
     return models.train_margin(rows.select("_ord", ids.alias("ids"), F.transform("a", lambda _: F.lit(1)).alias("loss_mask")), 512, 50)

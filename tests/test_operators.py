@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import subprocess
 
@@ -231,3 +232,13 @@ def test_session_scratch_and_tokens(spark):
     assert scratch_dir(spark)
     df = spark.range(5).select("id", tokens.tokenize(F.lit("a b")).alias("t"))
     assert materialize(df).count() == 5 and materialize(df.limit(0)).dtypes == df.dtypes
+
+
+def test_margin_weights_train_on_dev(spark):
+    from quern.plans import core
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    dev = core._streams(spark, d).where("data_split = 'DEV'").select(F.size(tokens.tokenize(F.col("reply"))).alias("n")).agg(F.sum("n")).first()[0]
+    assert core.margin_weights(spark, d).agg(F.sum("tokens")).first()[0] == dev
