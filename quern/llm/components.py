@@ -1,27 +1,33 @@
 """Connected components by frontier search, and splits that keep components together (problem 4).
 
 Components: every vertex whose hash is smaller than its neighbours' is a seed. All seeds expand at
-once; a vertex takes the smallest label that reaches it first and is never visited again. Where two
-labels meet, an edge between labels remains; these edges are a graph of at most half the vertices,
-which is solved the same way, until none is left. Every vertex has a path of falling hashes to a
-seed, so a level ends after a few steps; nothing is ever collected.
+once; a vertex takes the smallest label that reaches it first and is never visited again. The
+frontier is what the last step reached, and only its edges are followed. Where two labels meet, an
+edge between labels remains; these edges are a graph of at most half the vertices, which is solved
+the same way, until none is left. Every vertex has a path of falling hashes to a seed, so a level
+ends after a few steps; nothing is ever collected.
+
+Splits: all components of a plan lie on a circle in the order of their hashes, each with an arc of
+its weight, and the splits are consecutive stretches of the circle, as long as their shares. A
+component goes where the middle of its arc lies. Which hash gives the order and where the stretches
+begin is free: of SEEDS hashes and TURNS fixed starting points those whose shares come closest hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import repo_key, split_name, valid_rows
 from quern.session import materialize
 
-#: Windows of a plan heavier than this share are placed one by one (at most 1 / HEAVY_SHARE of them); the others by hash order.
-HEAVY_SHARE = 0.005
-#: Hash ranges per plan within which running sums are taken.
-RANGES = 1024
+#: Hashes tried, starting points tried on each one's circle, hash ranges per plan within which running sums are taken.
+SEEDS, TURNS, RANGES = 8, 100, 1024
+#: Steps of the search between two tables written.
+STEPS = 2
 
 
-def _rank(c: str) -> F.Column:
+def _rank(c: str) -> Column:
     return F.struct(F.xxhash64(c), F.col(c))
 
 
@@ -34,13 +40,19 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.where("a is not null and b is not null").select("a", "b").distinct()
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     least = both.groupBy("a").agg(F.min(_rank("b")).alias("low"))
-    labels = least.select(F.col("a").alias("vertex"), F.when(F.col("low") >= _rank("a"), F.col("a")).alias("label"))
-    labels = materialize(labels, "labels")
+    labels = least.select(F.col("a").alias("vertex"), F.when(F.col("low") >= _rank("a"), F.col("a")).alias("label"), F.lit(0).alias("step"))
+    labels, step = materialize(labels, "labels"), 0
+    links = both.where("a <> b")
     while labels.where("label is null").limit(1).count():
-        frontier = labels.where("label is not null").withColumnRenamed("vertex", "b")
-        reached = both.where("a <> b").join(frontier, "b").groupBy("a").agg(F.min("label").alias("new"))
-        labels = labels.join(reached, labels.vertex == reached.a, "left").select("vertex", F.coalesce("label", "new").alias("label"))
+        for _ in range(STEPS):
+            frontier = labels.where(F.col("step") == step).where("label is not null").select(F.col("vertex").alias("b"), "label")
+            reached = links.join(frontier, "b").groupBy("a").agg(F.min("label").alias("new"))
+            step += 1
+            joined = labels.join(reached, labels.vertex == reached.a, "left")
+            fresh = F.col("label").isNull() & F.col("new").isNotNull()
+            labels = joined.select("vertex", F.coalesce("label", "new").alias("label"), F.when(fresh, step).otherwise(F.col("step")).alias("step"))
         labels = materialize(labels, "labels")
+    labels = labels.drop("step")
     one, two = labels.select(F.col("vertex").alias("a"), F.col("label").alias("la")), labels.select(F.col("vertex").alias("b"), F.col("label").alias("lb"))
     met = both.join(one, "a").join(two, "b").where("la < lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     met = materialize(met, "met")
@@ -83,53 +95,41 @@ def torn_windows(plan: DataFrame, alias: DataFrame) -> DataFrame:
 def assign(entities: DataFrame, shares: DataFrame) -> DataFrame:
     """(plan_id, entity, weight, split): every entity of a plan whole in one split, near the shares.
 
-    shares: (split, share), the few splits there are. Heavy entities go first, the heaviest to the
-    split that lacks most; a plan has at most 1 / HEAVY_SHARE of them, so a task takes a bounded
-    list. The others follow by the order of their hashes, each where the middle of its stretch of
-    the running total falls in what is left; running totals are sums of hash ranges plus sums
-    within a range. Plans without any weight count windows instead. An empty shares table gives a
-    null split.
+    shares: (split, share), the few splits there are. All entities follow the order of their hashes;
+    running totals are sums of hash ranges plus sums within a range. Each hash and start of the
+    stretches is tried on the entities' arcs, the sums combine before their shuffle, and the one with
+    the smallest largest error holds (of equals the first). Plans without any weight count windows
+    instead. An empty shares table gives a null split.
     """
     per = entities.groupBy("plan_id", "entity").agg(F.sum("target").alias("t"), F.count(F.lit(1)).alias("n"))
     total = per.groupBy(F.col("plan_id").alias("tp")).agg(F.sum("t").alias("total"), F.sum("n").alias("count"))
-    weighed = per.join(total, F.col("plan_id").eqNullSafe(F.col("tp"))).select(
+    sized = per.join(total, F.col("plan_id").eqNullSafe(F.col("tp"))).select(
         "plan_id", "entity", F.when(F.col("total") > 0, F.col("t")).otherwise(F.col("n")).cast("double").alias("weight"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("count")).cast("double").alias("total")
-    ).withColumn("heavy", F.col("weight") > F.col("total") * HEAVY_SHARE)
-    weighed = materialize(weighed, "entities")
-    want = [(r["split"], float(r["share"])) for r in shares.where("split is not null and share > 0").groupBy(split_name("split").alias("split")).agg(F.max("share").alias("share")).where("split is not null").orderBy("split").collect()]  # three splits exist
-    whole = sum(x for _, x in want) or 1.0
-
-    def place(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["weight", "entity"], ascending=[False, True])
-        left = {s: x / whole * pdf["total"].iloc[0] for s, x in want}
-        out = []
-        for w in pdf["weight"]:
-            s = max(left, key=lambda k: (left[k], k)) if left else None
-            if s:
-                left[s] -= w
-            out.append(s)
-        return pd.DataFrame({"plan_id": pdf["plan_id"], "entity": pdf["entity"], "weight": pdf["weight"], "split": out})
-
-    heavy = weighed.where("heavy").groupBy("plan_id").applyInPandas(place, "plan_id string, entity string, weight double, split string")
-    heavy = materialize(heavy, "heavy")
-    light = weighed.where("not heavy").withColumn("h", F.xxhash64("entity", F.lit(4))).withColumn("range", F.shiftright("h", 64 - RANGES.bit_length() + 1))
-    sums = light.groupBy("plan_id", "range").agg(F.sum("weight").alias("s"))
-    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("plan_id").orderBy("range")) - F.col("s")).withColumn("all", F.sum("s").over(Window.partitionBy("plan_id"))).drop("s")
-    run = light.alias("l").join(before.alias("b"), F.col("l.plan_id").eqNullSafe(F.col("b.plan_id")) & (F.col("l.range") == F.col("b.range")))
-    run = run.select("l.plan_id", "l.entity", "l.weight", "l.total", "l.h", "l.range", "b.before", "b.all")
-    middle = F.col("before") + F.sum("weight").over(Window.partitionBy("plan_id", "range").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2
-    used = heavy.groupBy(F.col("plan_id").alias("up")).pivot("split", [s for s, _ in want]).agg(F.sum("weight")) if want else heavy.select(F.col("plan_id").alias("up")).distinct()
-    placed = run.withColumn("middle", middle).join(used, F.col("plan_id").eqNullSafe(F.col("up")), "left")
-    room = [F.greatest(F.lit(share / whole) * F.col("total") - F.coalesce(F.col(s), F.lit(0.0)), F.lit(0.0)) for s, share in want]
-    scale = F.coalesce(F.try_divide(sum(room[1:], room[0]), F.col("all")), F.lit(0.0)) if room else F.lit(1.0)
-    split, upto = F.lit(None).cast("string"), F.lit(0.0)
-    for (s, _), r in reversed(list(zip(want, room, strict=True))):
-        split = F.when(F.col("middle") * scale >= sum([x for (n, _), x in zip(want, room, strict=True) if n < s], upto), F.coalesce(split, F.lit(s))).otherwise(split)
-    last = want[0][0] if want else None
-    light_rows = placed.select("plan_id", "entity", "weight", F.coalesce(split, F.lit(last)).alias("split"))
-    return heavy.unionByName(light_rows)
+    )
+    hashed = sized.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))).withColumn("h", F.xxhash64("entity", "seed")).withColumn("range", F.shiftright("h", 64 - RANGES.bit_length() + 1))
+    sums = hashed.groupBy("plan_id", "seed", "range").agg(F.sum("weight").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("plan_id", "seed").orderBy("range")) - F.col("s")).drop("s")
+    run = hashed.alias("l").join(before.alias("b"), F.col("l.plan_id").eqNullSafe(F.col("b.plan_id")) & (F.col("l.seed") == F.col("b.seed")) & (F.col("l.range") == F.col("b.range"))).select("l.*", "b.before")
+    middle = F.col("before") + F.sum("weight").over(Window.partitionBy("plan_id", "seed", "range").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2
+    run = materialize(run.select("plan_id", "seed", "entity", "weight", (F.col("weight") / F.col("total")).alias("part"), (middle / F.col("total")).alias("middle")), "entities")
+    goal = shares.where("share > 0").groupBy(split_name("split").alias("split")).agg(F.max("share").alias("share")).where("split is not null")
+    want = [(r["split"], float(r["share"])) for r in goal.orderBy("split").collect()]  # three splits exist
+    whole = sum(x for _, x in want)
+    if not want:
+        return run.where("seed = 0").select("plan_id", "entity", "weight", F.lit(None).cast("string").alias("split"))
+    ends = [sum(x for _, x in want[: k + 1]) / whole for k in range(len(want))]
+
+    def placed(turn: Column) -> Column:
+        """The number of the split in which the middle lies when the first stretch begins at turn / TURNS."""
+        at = F.pmod(F.col("middle") - turn / TURNS, F.lit(1.0))
+        return sum([(at >= e).cast("int") for e in ends[:-1]], F.lit(0))
+
+    tried = run.select("plan_id", "seed", "part", "middle", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
+    got = tried.groupBy("plan_id", "seed", "turn").agg(*[F.sum(F.when(placed(F.col("turn")) == k, F.col("part")).otherwise(0.0)).alias(f"s{k}") for k in range(len(want))])
+    error = F.greatest(F.lit(0.0), *[F.abs(F.col(f"s{k}") - x / whole) for k, (_, x) in enumerate(want)])
+    best = got.groupBy(F.col("plan_id").alias("bp")).agg(F.min(F.struct(F.round(error, 9).alias("e"), "seed", "turn")).alias("b")).select("bp", F.col("b.seed").alias("bs"), F.col("b.turn").alias("turn"))
+    turned = run.join(best, F.col("plan_id").eqNullSafe(F.col("bp")) & (F.col("seed") == F.col("bs")))
+    return turned.select("plan_id", "entity", "weight", F.element_at(F.array(*[F.lit(s) for s, _ in want]), placed(F.col("turn")) + 1).alias("split"))
 
 
 def plan_splits(plan: DataFrame, alias: DataFrame, shares: DataFrame) -> DataFrame:
