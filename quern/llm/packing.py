@@ -1,9 +1,10 @@
 """Problem 7: records into sequences of fixed capacity, by deficit round-robin over source queues.
 
 Records of a group are spread over blocks of bounded size by hash. In a block every source is a
-queue with a deficit: each new sequence adds its target share of the capacity. The longest record
-left opens the sequence; then, until nothing fits, the source that lacks most gives its longest
-record that fits. A record may put its source in debt, which carries over from sequence to sequence.
+queue with a deficit: each new sequence adds its target share of the capacity. The source that lacks
+most opens the sequence with its longest record; then, until nothing fits, the source that lacks most
+of those that still have one gives its longest record that fits. A record may put its source in
+debt, which carries over from sequence to sequence.
 Sequences that stay below FULL are opened again: their records and the block's deficits go to a
 second round of blocks over the whole group.
 """
@@ -36,8 +37,7 @@ def fill(queues: dict[str, list[tuple[int, int]]], share: dict[str, float], capa
         for s in live:
             owed[s] += capacity * share.get(s, 0.0) / weight
         room, taken = capacity, []
-        # a sequence opens with the longest record there is, or long ones would be left alone at the end
-        opener = max(live, key=lambda s: (queues[s][-1][0], owed[s]))
+        opener = max(live, key=lambda s: (owed[s], queues[s][-1][0]))
         while opener is not None:
             q = queues[opener]
             length, number = q.pop(bisect_right(q, (room, 1 << 62)) - 1)
@@ -155,6 +155,19 @@ def report(packed: DataFrame) -> DataFrame:
 
 
 def mixture(packed: DataFrame) -> DataFrame:
-    """Per group and source: tokens and the mean distance of a full sequence's share from the group's."""
-    per = packed.groupBy(*GROUP, "sequence", "source").agg(F.sum(F.col("pieces") * F.col("length")).alias("t"))
-    return per.groupBy(*GROUP, "source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("sequences"))
+    """(group columns, source, share, tokens, sequences, distance).
+
+    share: the source's part of the group's tokens in undivided sequences; sequences: those that hold
+    the source; distance: the mean over the group's sequences of the total variation between a
+    sequence's mixture and the group's, the same for all sources of a group. Sequences of a divided
+    record's full pieces hold one source by need and don't count.
+    """
+    own = packed.where(~F.startswith("sequence", F.lit("w:")))
+    per = own.groupBy(*GROUP, "sequence", "source").agg(F.sum("length").alias("t"))
+    inside = per.groupBy(*GROUP, "sequence").agg(F.sum("t").alias("whole"), F.collect_list(F.struct("source", "t")).alias("parts"))
+    tokens = per.groupBy(*GROUP, "source").agg(F.sum("t").alias("tokens"), F.count(F.lit(1)).alias("sequences"))
+    goal = tokens.groupBy(*GROUP).agg(F.sum("tokens").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "tokens"))).alias("goal"))
+    # |a - b| / 2 over all sources = the sum over the sequence's own sources of what exceeds the goal
+    over = F.aggregate("parts", F.lit(0.0), lambda a, x: a + F.greatest(x["t"] / F.col("whole") - F.element_at("goal", x["source"]) / F.col("all"), F.lit(0.0)))
+    far = inside.join(goal, GROUP).groupBy(*GROUP).agg(F.avg(over).alias("distance"), F.max("all").alias("all"))
+    return tokens.join(far, GROUP).select(*GROUP, "source", F.round(F.col("tokens") / F.col("all"), 6).alias("share"), "tokens", "sequences", F.round("distance", 6).alias("distance"))

@@ -45,6 +45,7 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: packing.divided(_packed(s, d)),
         "p7_packing": _packed,
         "p7_report": lambda s, d: packing.report(_packed(s, d)),
+        "p7_mixture": lambda s, d: packing.mixture(_packed(s, d)),
         "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_item")),
         "p8_report": lambda s, d: leaks.report(t(s, d, "documents"), t(s, d, "eval_item")),
         "p9_mix": lambda s, d: mixing.mix(t(s, d, "documents"), t(s, d, "mix_target")),

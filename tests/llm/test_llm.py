@@ -235,6 +235,15 @@ def test_packing_keeps_every_token_once(spark, rows):
         size[r["sequence"]] = size.get(r["sequence"], 0) + r["length"]
     assert per == {r[3]: r[4] for r in data[:700]} and max(size.values()) <= 100
     assert {r[0] for r in packing.divided(out).collect()} == {r[3] for r in data[:700] if r[4] > 100}
+    mixed = {r["source"]: r for r in packing.mixture(out).collect()}
+    assert abs(sum(r["share"] for r in mixed.values()) - 1) < 1e-5 and len({r["distance"] for r in mixed.values()}) == 1
+    inside = {}
+    for r in got:
+        if not r["sequence"].startswith("w:"):
+            inside.setdefault(r["sequence"], {}).setdefault(r["source"], 0)
+            inside[r["sequence"]][r["source"]] += r["length"]
+    far = [sum(abs(v.get(s, 0) / sum(v.values()) - r["share"]) for s, r in mixed.items()) / 2 for v in inside.values()]
+    assert abs(sum(far) / len(far) - mixed["a"]["distance"]) < 1e-4
     report = packing.report(out).first()
     assert report["sequences"] <= report["fewest"] * 1.1
     assert packing.pack(df.limit(0)).count() == 0
@@ -301,13 +310,34 @@ def test_mix_reaches_the_shares(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "Big ").when(F.col("id") % 10 < 9, "mid").otherwise("small").alias("source"), F.when(F.col("id") % 50 == 3, None).otherwise(F.repeat(F.lit("word and more "), (F.col("id") % 7 + 1).cast("int"))).alias("text"), F.lit(1).alias("rank"))
     t = spark.createDataFrame([("big", 0.5, 1), ("MID", 0.3, 2), ("small", 0.2, 3), ("none", 0.1, 5), (None, 0.3, 1)], "source string, target_share double, max_repeats bigint")
     drawn = mixing.mix(docs, t)
+    assert drawn.where("doc_id % 50 = 3").count() == 0
     got = {r["source"]: r for r in mixing.shares(drawn, t).collect()}
-    assert abs(got["big"]["share"] - 0.5) < 0.02 and abs(got["mid"]["share"] - 0.3) < 0.02 and abs(got["small"]["share"] - 0.2) < 0.02
+    assert abs(got["big"]["share"] - 0.5) < 0.002 and abs(got["mid"]["share"] - 0.3) < 0.002 and abs(got["small"]["share"] - 0.2) < 0.002
     assert got["small"]["repeats"] <= 3 and got["mid"]["repeats"] <= 2 and got["big"]["repeats"] == 1 and got["none"]["tokens"] == 0
     assert drawn.groupBy("doc_id", "repeat").count().where("count > 1").count() == 0
     assert mixing.mix(docs.limit(0), t).count() == mixing.mix(docs, t.limit(0)).count() == 0
 
 
+def test_mix_counts_tokens_exactly_and_spreads_them(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    import public_tokenizers
+
+    with open(mixing.default_ranks(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "fix(parser): handle `foo_bar()`\n\n", "Größe  über\u00a0alles", "<|endoftext|> x" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r[0] for r in df.select(mixing.exact_counter()("text"), "doc_id").orderBy("doc_id").collect()] == [len(e.encode_ordinary(t)) if t else 0 for t in texts]
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("source"), (F.col("id") % 40 + 1).alias("text"))
+    t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.6, 1), ("b", 0.1, 9)], "source string, target_share double, max_repeats bigint")
+    drawn = mixing.mix(docs, t, size=F.col("text"), slot_tokens=500).collect()
+    slots = max(r["slot"] for r in drawn) + 1
+    half = sum(r["tokens"] for r in drawn if r["slot"] < slots / 2 and r["source"] == "a") / sum(r["tokens"] for r in drawn if r["slot"] < slots / 2)
+    assert abs(half - 0.4) < 0.02 and {r["repeat"] for r in drawn if r["source"] == "a"} <= {0, 1}
+
+
 # 10 stuffing
 
 
