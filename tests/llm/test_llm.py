@@ -290,17 +290,59 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.found(df, it.limit(0)).count() == leaks.found(df.limit(0), it).count() == 0
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("radius", [0, 3, 7])
+def test_index_finds_all_within_the_radius(radius):
     rng = np.random.default_rng(0)
-    index = leaks.ItemIndex([(1, " ".join(f"x{i}" for i in range(200)))])
-    for bits in range(5):
-        a = index.prints[rng.integers(0, len(index.prints), 200)].copy()
+    (prints,) = leaks.WordBits().fingerprints([f"x{i}" for i in range(200)])
+    index = leaks.NearIndex(prints, radius)
+    for bits in range(10):
+        a = prints[rng.integers(0, len(prints), 100)].copy()
         for row in range(len(a)):
             for b in rng.choice(64, bits, replace=False):
                 a[row] ^= np.uint64(1) << np.uint64(b)
-        near = set(index.near(a)[0].tolist())
-        exact = {i for i, x in enumerate(a) if np.bitwise_count(index.prints ^ x).min() <= leaks.RADIUS}
-        assert near == exact
+        assert set(index.near(a)[0].tolist()) == {i for i, x in enumerate(a) if np.bitwise_count(prints ^ x).min() <= radius}
+
+
+def test_fingerprints_of_long_texts_and_several_sizes():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50)}" for _ in range(leaks.CHUNK + 700)]
+    bits = leaks.WordBits()
+    for size, prints in zip((13, 192), bits.fingerprints(words, (13, 192)), strict=True):
+        assert len(prints) == len(words) - size + 1
+        for at in (0, leaks.CHUNK - 1, leaks.CHUNK, len(prints) - 1):
+            assert prints[at] == bits.fingerprints(words[at : at + size], (size,))[0][0]
+
+
+def test_near_copies_recall_on_planted_edits(spark):
+    rng = random.Random(12)
+    words = ["the", "of", "and", "to", "in"] * 60 + [f"word{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([20, 40, 60, 110, 150, 220])))) for i in range(60)]
+    docs, planted = [], []
+    for d in range(300):
+        i = rng.randrange(60)
+        own = items[i][1].split()
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(own))
+            own[k : k + 1] = rng.choice([[], [rng.choice(words)], [own[k], rng.choice(words)]])
+        docs.append((d, " ".join(rng.choices(words, k=rng.randint(0, 60)) + own + rng.choices(words, k=rng.randint(0, 60)))))
+        planted.append((d, i))
+    docs += [(1000 + d, " ".join(rng.choices(words, k=200))) for d in range(50)] + [(2000, None), (None, items[0][1])]
+    want = set()
+    for d, i in planted:
+        w, own = docs[d][1].split(), items[i][1].split()
+        size = max(s for s in leaks.SIZES if s <= len(own))
+        at = sorted({*range(0, len(own) - size + 1, size // 2), len(own) - size})
+        if max(leaks.similarity(own[a : a + size], w[k : k + size]) for a in at for k in range(len(w) - size + 1)) >= leaks.SIMILAR:
+            want.add((d, i))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit(3)).withColumn("similarity", F.lit(2))
+    it = spark.createDataFrame(items + [(None, "a"), (99, None), (98, "too short")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.near_copies(df, it).collect()}
+    recall = len(got & want) / len(want)
+    print("recall", recall, len(want))
+    assert len(want) > 100 and got <= set(planted) and recall >= 0.9
+    assert leaks.near_copies(df, it.limit(0)).count() == leaks.near_copies(df.limit(0), it).count() == 0
+    r = leaks.report(df.withColumn("source", F.lit(" A ")), it).collect()
+    assert {x["source"] for x in r} == {"a"} and sum(x["near"] for x in r) == len(got)
 
 
 # 9 mixing
