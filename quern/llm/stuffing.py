@@ -5,11 +5,13 @@
    counts once, in the first block that has it: copies of a page don't make its phrases common.
 2. Each block gets back the totals of its own words and pairs where they differ from its counts.
 3. Per document, pointwise mutual information of neighbours is averaged over a sliding window: a
-   window far below coherent text is word salad. A pair that comes three times or more within SPAN
-   words, and much more often than the corpus leads one to expect there, is a collocation repeated to
-   excess. Words inside links, markup tags and hash tags are marked as such by an exact check, as are
-   lines of logs, diffs and code, which are no stuffing however much they repeat.
-4. A document is found if the marked words make up more than half of its letters.
+   window far below coherent text is word salad. A pair that comes two or three times within a span,
+   and much more often than the corpus leads one to expect there, is a collocation repeated to
+   excess. Both marks come from corpus counts alone; words inside links, markup tags and hash tags
+   are marked as well. Documents less than half of whose letters are marked are through.
+4. An exact check follows on the others. It only takes marks away: lines of logs, diffs and code are
+   no stuffing however much they repeat, and sentences written to be read need denser repetition.
+   A document is found if the marks left make up more than half of its letters.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quern.session import materialize
 
-#: Documents per block; words in the window of mean association; its threshold in nats.
-BLOCK, WINDOW, SALAD = 4000, 24, 1.2
+#: Letters per block; words in the window of mean association; its threshold in nats.
+BLOCK, WINDOW, SALAD = 5_000_000, 24, 1.2
 #: A collocation is excessive if TIMES of it lie within SPAN words and are EXCESS times as many as expected.
 TIMES, SPAN, EXCESS = 3, 50, 8.0
 #: The same outside written sentences, in lists.
@@ -35,7 +37,8 @@ REPEATED = 2 * TIMES
 SHARE = 0.5
 
 WORD = re.compile(r"[^\W_]+")
-LINK = re.compile(r"(<[^<>]{1,2000}>|\b(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+|(?<!\S)#[^\W\d_][\w-]*|(?<!\S)\[\[?[^\[\]\n]{1,200}\]\]?\([^()\s]*\))")
+# every branch begins with its own sign, so that the search skips to one; what may stand before it is looked up behind it
+LINK = re.compile(r"(<[^<>\n]+>|h(?<!\wh)ttps?://[^\s<>\"')\]]+|f(?<!\wf)tp://[^\s<>\"')\]]+|w(?<!\ww)ww\.[^\s<>\"')\]]+|#(?<!\S#)[^\W\d_][\w-]*|\[(?<!\S\[)\[?[^\[\]\n]+\]\]?\([^()\s]*\))")
 #: Lines that are log or diff output: a time stamp, a level, a diff marker.
 OUTPUT = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\s*\[?\d\d:\d\d:\d\d\b|\s*\[?(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)\b|diff --git |index [0-9a-f]{7,}|@@ |(?:\+\+\+|---) ")
 #: Indented or added and removed statements, and what one must still have when its line had links, tags or entities:
@@ -51,6 +54,10 @@ EXEMPT, PLAIN, LINKED, WRITTEN = 0, 1, 2, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def may_link(text: str) -> bool:
+    return "://" in text or "#" in text or "<" in text or "www." in text or "](" in text
+
+
 def is_code(line: str, linked: bool) -> bool:
     """If the line is an indented or changed statement; links, tags and entities in it don't count."""
     if not CODE.match(line):
@@ -82,7 +89,7 @@ def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
             diff = False
             continue
         diff = line.startswith(("diff --git ", "@@ ")) or (diff and line.startswith((" ", "+", "-", "@")))
-        linked = "://" in line or "#" in line or "<" in line or "www." in line or "](" in line
+        linked = may_link(line)
         if diff or OUTPUT.match(line) or is_code(line, linked):
             own = WORD.findall(line.lower())
             words += own
@@ -106,30 +113,40 @@ def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, counts, marks
 
 
+def plain_words(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The same words as marked_words, with links as the only segments told apart."""
+    if not may_link(text):
+        words = WORD.findall(text.lower())
+        return words, [len(words)], [PLAIN]
+    words, counts, marks = [], [], []
+    for k, part in enumerate(LINK.split(text)):
+        own = WORD.findall(part.lower())
+        words += own
+        counts.append(len(own))
+        marks.append(LINKED if k % 2 else PLAIN)
+    return words, counts, marks
+
+
 class Block:
-    """The words of some documents as arrays: hash, document and their pairs; if marked, mark and length too."""
+    """The words of some documents as arrays: hash, document, length, mark and segment, and their pairs. read: text -> words, segments' sizes, marks."""
 
-    def __init__(self, texts: list[str | None], cache: WordHash, marked: bool = True) -> None:
+    def __init__(self, texts: list[str | None], cache: WordHash, read=marked_words) -> None:  # noqa: ANN001
         h: list[np.ndarray] = []
         lengths: list[np.ndarray] = []
         counts: list[int] = []
         parts: list[int] = []
         marks: list[int] = []
         for text in texts:
-            if marked:
-                words, sizes, own = marked_words(text) if text else ([], [], [])
-                parts += sizes
-                marks += own
-                lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
-            else:
-                words = WORD.findall(text.lower()) if text else []
+            words, sizes, own = read(text) if text else ([], [], [])
+            parts += sizes
+            marks += own
+            lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
             h.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
             counts.append(len(words))
         self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
-        if marked:
-            self.mark = np.repeat(np.array(marks, np.int8), np.array(parts, np.int64))
-            self.segment = np.repeat(np.arange(len(parts)), np.array(parts, np.int64))
-            self.length = np.concatenate(lengths) if lengths else np.empty(0, np.int32)
+        self.mark = np.repeat(np.array(marks, np.int8), np.array(parts, np.int64))
+        self.segment = np.repeat(np.arange(len(parts)), np.array(parts, np.int64))
+        self.length = np.concatenate(lengths) if lengths else np.empty(0, np.int32)
         self.docs, self.counts = len(texts), np.array(counts)
         self.doc = np.repeat(np.arange(len(texts)), counts)
         inside = self.doc[1:] == self.doc[:-1] if len(self.doc) else np.empty(0, bool)
@@ -168,66 +185,112 @@ def _window_mean(values: np.ndarray, group: np.ndarray, size: int) -> np.ndarray
     return (total[hi] - total[lo]) / (hi - lo)
 
 
-def score_block(block: Block, key: np.ndarray, total: np.ndarray, words: float, pairs: float) -> pd.DataFrame:
-    """Per document: stuffed (share of letters), association (mean PMI), and n words. key, total: corpus counts, sorted by key."""
-    word = total[np.searchsorted(key, block.word)].astype(float) if len(block.word) else np.empty(0)
-    pair = total[np.searchsorted(key, block.pair)].astype(float) if len(block.pair) else np.empty(0)
-    pmi = np.log(pair / pairs) - np.log(word[block.first] / words) - np.log(word[block.first + 1] / words)
-    group = block.doc[block.first]
-    stuffed = np.zeros(len(block.hash), bool)
-    # word salad: both words of a pair whose surroundings are incoherent
-    low = _window_mean(pmi, group, WINDOW) < SALAD
-    stuffed[block.first[low]] = stuffed[block.first[low] + 1] = True
-    # all pairs, in the order of pair, document and position
-    order = np.argsort(block.pair ^ (group.astype(np.uint64) * MIX), kind="stable")
-    k, p, d, often = block.pair[order], block.first[order], group[order], pair[order]
-
-    def dense(times: int, span: int) -> np.ndarray:
+class Evidence:
+    """What the corpus counts say of a block. word, pair: corpus counts of the block's words and pairs; words, pairs: the sums over all."""
+
+    def __init__(self, block: Block, word: np.ndarray, pair: np.ndarray, words: float, pairs: float) -> None:
+        self.block, self.pairs = block, pairs
+        self.pmi = np.log(pair / pairs) - np.log(word[block.first] / words) - np.log(word[block.first + 1] / words)
+        self.group = block.doc[block.first]
+        # word salad: both words of a pair whose surroundings are incoherent
+        low = _window_mean(self.pmi, self.group, WINDOW) < SALAD
+        self.salad = np.zeros(len(block.hash), bool)
+        self.salad[block.first[low]] = self.salad[block.first[low] + 1] = True
+        # all pairs that the corpus has twice, in the order of pair, document and position
+        twice = np.flatnonzero(pair > 1)
+        order = twice[np.argsort(block.pair[twice] ^ (self.group[twice].astype(np.uint64) * MIX), kind="stable")]
+        self.k, self.p, self.d, self.often = block.pair[order], block.first[order], self.group[order], pair[order]
+
+    def dense(self, times: int, span: int) -> np.ndarray:
         """Where in this order a pair comes the first of `times` times within `span` words, far more often than expected."""
-        n = max(0, len(k) - times + 1)
-        close = (k[:n] == k[times - 1 :]) & (d[:n] == d[times - 1 :]) & (p[times - 1 :] - p[:n] <= span)
-        return np.flatnonzero(close & (EXCESS * span * often[:n] / pairs < times))
-
-    # a sentence most of whose own pairs repeat to excess, and REPEATED times in the document, is no written one
-    edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]), [True]])) if len(k) else np.zeros(1, np.int64)
-    count = np.repeat(np.diff(edge), np.diff(edge))
-    often_here = np.zeros(len(block.hash), bool)
-    here = dense(TIMES, SPAN)
-    here = here[count[here] >= REPEATED]
-    for j in range(TIMES):
-        often_here[p[here + j]] = True
-    own = block.first[block.segment[block.first] == block.segment[block.first + 1]]
-    parts = int(block.segment[-1]) + 1 if len(block.segment) else 0
-    repeats = 2 * np.bincount(block.segment[own], often_here[own], parts) > np.bincount(block.segment[own], minlength=parts)
-    mark = np.where((block.mark == WRITTEN) & repeats[block.segment], PLAIN, block.mark)
-    written = (mark == WRITTEN) & ~stuffed
-    # collocations repeated to excess: `times` of one pair in a document within `span` words; all count, none is marked in written sentences
-    for times, span, where in ((TIMES, SPAN, ~written), (TIMES_LISTED, SPAN_LISTED, mark == PLAIN)):
-        here = dense(times, span)
+        n = max(0, len(self.k) - times + 1)
+        close = (self.k[:n] == self.k[times - 1 :]) & (self.d[:n] == self.d[times - 1 :]) & (self.p[times - 1 :] - self.p[:n] <= span)
+        return np.flatnonzero(close & (EXCESS * span * self.often[:n] / self.pairs < times))
+
+    def excessive(self, times: int, span: int) -> np.ndarray:
+        """The words of collocations repeated to excess: `times` of one pair in a document within `span` words."""
+        out, here = np.zeros(len(self.block.hash), bool), self.dense(times, span)
         for j in range(times):
-            at = p[here + j]
-            at = np.concatenate([at, at + 1])
-            stuffed[at[where[at]]] = True
-    stuffed |= block.mark == LINKED
-    # what lies between stuffed words belongs to it, a stray repetition in other text doesn't count
-    never = (block.mark == EXEMPT) | written
-    stuffed = (_window_mean((stuffed & ~never).astype(float), block.doc, WINDOW // 2) > 0.5) & ~never
-    letters = np.bincount(block.doc, block.length, block.docs)
-    share = np.divide(np.bincount(block.doc, block.length * stuffed, block.docs), letters, out=np.zeros(block.docs), where=letters > 0)
-    n_pairs = np.bincount(group, minlength=block.docs)
-    mean = np.divide(np.bincount(group, pmi, block.docs), n_pairs, out=np.zeros(block.docs), where=n_pairs > 0)
-    return pd.DataFrame({"stuffed": share, "association": mean, "words": block.counts.astype("int64")})
+            at = self.p[here + j]
+            out[at] = out[at + 1] = True
+        return out
+
+    def share(self, stuffed: np.ndarray, never: np.ndarray) -> np.ndarray:
+        """Per document the letters' part of stuffed words; what lies between them belongs to it, a stray one in other text doesn't count."""
+        b = self.block
+        stuffed = (_window_mean((stuffed & ~never).astype(float), b.doc, WINDOW // 2) > 0.5) & ~never
+        letters = np.bincount(b.doc, b.length, b.docs)
+        return np.divide(np.bincount(b.doc, b.length * stuffed, b.docs), letters, out=np.zeros(b.docs), where=letters > 0)
+
+    def suspected(self) -> np.ndarray:
+        """The share by association, repetition and links alone; no document's checked share is above it."""
+        all_marks = self.salad | self.excessive(TIMES, SPAN) | self.excessive(TIMES_LISTED, SPAN_LISTED) | (self.block.mark == LINKED)
+        return self.share(all_marks, np.zeros(len(all_marks), bool))
+
+    def checked(self) -> np.ndarray:
+        """The share when lines of logs, diffs and code are exempt, and written sentences by what repeats in them."""
+        block, stuffed = self.block, self.salad.copy()
+        # a sentence most of whose own pairs repeat to excess, and REPEATED times in the document, is no written one
+        k, d, p = self.k, self.d, self.p
+        edge = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]), [True]])) if len(k) else np.zeros(1, np.int64)
+        count = np.repeat(np.diff(edge), np.diff(edge))
+        often_here = np.zeros(len(block.hash), bool)
+        here = self.dense(TIMES, SPAN)
+        here = here[count[here] >= REPEATED]
+        for j in range(TIMES):
+            often_here[p[here + j]] = True
+        own = block.first[block.segment[block.first] == block.segment[block.first + 1]]
+        parts = int(block.segment[-1]) + 1 if len(block.segment) else 0
+        repeats = 2 * np.bincount(block.segment[own], often_here[own], parts) > np.bincount(block.segment[own], minlength=parts)
+        mark = np.where((block.mark == WRITTEN) & repeats[block.segment], PLAIN, block.mark)
+        written = (mark == WRITTEN) & ~stuffed
+        # all repetitions count, none is marked in written sentences
+        stuffed |= self.excessive(TIMES, SPAN) & ~written
+        stuffed |= self.excessive(TIMES_LISTED, SPAN_LISTED) & (mark == PLAIN)
+        stuffed |= block.mark == LINKED
+        return self.share(stuffed, (block.mark == EXEMPT) | written)
+
+    def association(self) -> np.ndarray:
+        """The mean PMI of each document's neighbours."""
+        n = np.bincount(self.group, minlength=self.block.docs)
+        return np.divide(np.bincount(self.group, self.pmi, self.block.docs), n, out=np.zeros(self.block.docs), where=n > 0)
+
+
+def looked_up(block: Block, key: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The totals of a block's words and pairs; key, total: sorted by key, with all of them."""
+    if not len(block.word):
+        return np.empty(0), np.empty(0)
+    return total[np.searchsorted(key, block.word)].astype(float), total[np.searchsorted(key, block.pair)].astype(float)
+
+
+def score_block(texts: list[str | None], cache: WordHash, own: Block, at_key: np.ndarray, key: np.ndarray, total: np.ndarray, words: float, pairs: float) -> pd.DataFrame:
+    """Per text: suspected and stuffed (shares of letters), association (mean PMI), and n words.
+
+    own: the texts, read by plain_words; key, total: corpus counts of what it holds; at_key: the place
+    of its words and then its pairs in key.
+    """
+    each, n = total[at_key].astype(float), len(own.word)
+    first = Evidence(own, each[:n], each[n:], words, pairs)
+    suspected = first.suspected()
+    stuffed, at = suspected.copy(), np.flatnonzero(suspected > SHARE)
+    if len(at):
+        block = Block([texts[i] for i in at], cache)
+        stuffed[at] = Evidence(block, *looked_up(block, key, total), words, pairs).checked()
+    return pd.DataFrame({"suspected": suspected, "stuffed": stuffed, "association": first.association(), "words": own.counts.astype("int64")})
 
 
 def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(key, stuffed, association, words) of every document.
+    """(key, suspected, stuffed, association, words) of every document.
 
-    Null, empty and blank texts have no words and are not stuffed. Repeated keys are documents of
-    their own. No document is cut; a block holds about `block` documents. Corpus counts are exact
-    over all distinct texts, and a pair of words that only one block holds never travels twice.
+    suspected: the part of its letters marked by association, repetition and links; stuffed: the part
+    the check leaves where suspected is above SHARE, else suspected itself, which bounds it. Null,
+    empty and blank texts have no words and are not stuffed. Repeated keys are documents of their
+    own. No document is cut; a block holds about `block` letters. Corpus counts are exact over all
+    distinct texts, and a pair of words that only one block holds never travels twice.
     """
     docs = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    blocks = max(1, -(-docs.count() // block))
+    letters = docs.agg(F.sum(F.length("_text"))).first()[0] or 0
+    blocks = max(1, -(-letters // block))
     docs = docs.withColumn("_block", F.pmod(F.xxhash64("_key", F.length("_text")), F.lit(blocks)).cast("int")).withColumn("_hash", F.xxhash64("_text"))
     kind = docs.schema["_key"].dataType.simpleString()
     # texts that an earlier block counts: a text has at most one row per block here, however many copies there are
@@ -238,7 +301,7 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
         if not len(left):
             return pd.DataFrame({"_block": [], "h": [], "n": [], "seen": []})
         _, texts = distinct_texts(left)
-        own = Block(texts["_text"].tolist(), WordHash(), False)
+        own = Block(texts["_text"].tolist(), WordHash(), plain_words)
         keys, seen = count_block(own)
         n = seen.copy()
         elsewhere = texts["_hash"].isin(right["_h"]).to_numpy()
@@ -257,16 +320,17 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, texts = distinct_texts(left)
-        own = Block(texts["_text"].tolist(), WordHash())
-        keys, n = count_block(own)
+        cache = WordHash()
+        own = Block(texts["_text"].tolist(), cache, plain_words)
+        keys, at_key, n = np.unique(np.concatenate([own.word, own.pair]), return_inverse=True, return_counts=True)
         total = n.astype(np.int64)
         total[np.searchsorted(keys, right["h"].to_numpy(np.int64).view(np.uint64))] = right["total"].to_numpy(np.int64)
-        out = score_block(own, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0)).iloc[at].reset_index(drop=True)
+        out = score_block(texts["_text"].tolist(), cache, own, at_key, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0)).iloc[at].reset_index(drop=True)
         out.insert(0, "_key", left["_key"].to_numpy())
         return out
 
     paired = docs.drop("_hash").groupBy("_block").cogroup(back.groupBy("_block"))
-    out = paired.applyInPandas(score, f"_key {kind}, stuffed double, association double, words bigint")
+    out = paired.applyInPandas(score, f"_key {kind}, suspected double, stuffed double, association double, words bigint")
     return out.withColumnRenamed("_key", key)
 
 

@@ -407,7 +407,7 @@ def test_stuffing_marks_lists_and_salad(spark):
     assert got == set(range(300, 304))
     assert stuffing.scores(df).count() == len(texts)
     assert stuffing.found(df.limit(0)).count() == 0
-    again = {r[0] for r in stuffing.scores(df, block=40).where("stuffed > 0.5").collect()}
+    again = {r[0] for r in stuffing.scores(df, block=40_000).where("stuffed > 0.5").collect()}
     assert again == got
 
 
@@ -418,7 +418,7 @@ def test_stuffing_finds_a_page_copied_over_a_third_of_the_rows(spark):
     good = [" ".join(sentence() for _ in range(8)) for _ in range(300)]
     page = ", ".join(["best git hooks", "free git hooks", "cheap code search"] * 20)
     df = spark.createDataFrame(list(enumerate([*good, *[page] * 150])), "doc_id bigint, text string")
-    for block in (4000, 40):
+    for block in (stuffing.BLOCK, 20_000):
         scored = stuffing.scores(df, block=block).collect()
         assert len(scored) == 450
         assert {r["doc_id"] for r in scored if r["stuffed"] > 0.5} == set(range(300, 450))
@@ -452,5 +452,5 @@ def test_repetition_counts_in_written_sentences_too():
     block = stuffing.Block([*good, lines, mixed], stuffing.WordHash())
     keys, total = stuffing.count_block(block)
     words, pairs = (float(total[(keys & np.uint64(1)) == odd].sum()) for odd in (0, 1))
-    share = stuffing.score_block(block, keys, total, words, pairs)["stuffed"].to_numpy()
+    share = stuffing.Evidence(block, *stuffing.looked_up(block, keys, total), words, pairs).checked()
     assert share[:900].max() == 0 and share[900] > 0.9 and 0.25 < share[901] < 0.5
