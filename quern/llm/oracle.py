@@ -28,6 +28,12 @@ k as (select *, lower(path) as lp, string_split(lower(path), '/')[-1] as nm, str
 mf as (select {repo('repo_url')} as repo, exclude_globs from source_manifest where {repo('repo_url')} is not null qualify row_number() over (partition by {repo('repo_url')} order by _ord desc) = 1),
 gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo)"""
 
+OVERLAP = f"""v as (select id, {repo('source_repo_url')} as repo, {split('data_split')} as s, lower({strip('source_commit')}) as c, list_sort(list_distinct(list_transform(list_filter(changed_paths, lambda x: length(x) > 0), lambda x: {PATH.format('x')}))) as ps from {LABEL}),
+w as (select * from v where s is not null), d as (select * from w where s = 'DEV'), h as (select * from w where s <> 'DEV'),
+a as (select d.id as x, h.id as y from d join h on substr(d.c, 1, 7) = substr(h.c, 1, 7) and length(d.c) >= 7 and length(h.c) >= 7 and (starts_with(d.c, h.c) or starts_with(h.c, d.c)) where regexp_matches(d.c, '^[0-9a-f]+$') and regexp_matches(h.c, '^[0-9a-f]+$')),
+dp as (select id, len(ps) as n, unnest(ps) as p from d where len(ps) >= 5), hp as (select id, len(ps) as n, unnest(ps) as p from h where len(ps) >= 5),
+b as (select dp.id as x, hp.id as y from dp join hp using (p) group by dp.id, hp.id, dp.n, hp.n having count(*) * 5 >= (dp.n + hp.n - count(*)) * 4)"""
+
 CAP = f"""v as (select id, coalesce({repo('source_repo_url')}, '') as repo, case when confidence is null or isnan(confidence) or confidence < 0 or confidence > 1 then -1 else confidence end as q from {LABEL}),
 r as (select *, row_number() over (partition by repo order by q desc, id) as rn, (select count(*) // 100 from v) as cap from v)"""
 
@@ -35,12 +41,13 @@ SQL: dict[str, str] = {
     "p1_found": f"with {TERMS} select field, term, mark from m where mark <> 'useful'",
     "p1_terms": f"with {TERMS} select * from m",
     "p2_found": f"with {FOUND2} select id as label_id, raw as path from k left join gl using (repo) where {NAMED} or coalesce(regexp_matches(path, rx), false)",
-    "p3_found": f"""with v as (select id, {split('data_split')} as s, lower({strip('source_commit')}) as c, list_sort(list_distinct(list_transform(list_filter(changed_paths, lambda x: length(x) > 0), lambda x: {PATH.format('x')}))) as ps from {LABEL}),
-      w as (select * from v where s is not null), d as (select * from w where s = 'DEV'), h as (select * from w where s <> 'DEV'),
-      a as (select d.id as x, h.id as y from d join h on substr(d.c, 1, 7) = substr(h.c, 1, 7) and length(d.c) >= 7 and length(h.c) >= 7 and (starts_with(d.c, h.c) or starts_with(h.c, d.c)) where regexp_matches(d.c, '^[0-9a-f]+$') and regexp_matches(h.c, '^[0-9a-f]+$')),
-      dp as (select id, len(ps) as n, unnest(ps) as p from d where len(ps) >= 5), hp as (select id, len(ps) as n, unnest(ps) as p from h where len(ps) >= 5),
-      b as (select dp.id as x, hp.id as y from dp join hp using (p) group by dp.id, hp.id, dp.n, hp.n having count(*) * 5 >= (dp.n + hp.n - count(*)) * 4)
-      select distinct least(x, y) as label_id_a, greatest(x, y) as label_id_b from (from a union all from b)""",
+    "p3_found": f"with {OVERLAP} select distinct least(x, y) as label_id_a, greatest(x, y) as label_id_b from (from a union all from b)",
+    "p3_report": f"""with {OVERLAP}, sets as (select distinct ps, s = 'DEV' as dev from w where len(ps) >= 5), sp as (select ps, dev, k, ps[k : k + 2] as span from (select *, unnest(range(1, len(ps) - 1)) as k from sets)),
+      sh as (select span from sp group by span having bool_or(dev) and bool_or(not dev)), cv as (select ps, count(distinct k + j) as covered from (select ps, k from sp where not dev and span in (from sh)) cross join (values (0), (1), (2)) o(j) group by ps),
+      al as (select y, true as l from a group by y), bl as (select y, true as l from b group by y)
+      select h.s as split, repo, count(*) as labels, count(*) filter (al.l or bl.l) as leaked, count(*) filter (al.l) as by_commit, count(*) filter (bl.l) as by_paths,
+      cast(coalesce(sum(case when len(h.ps) >= 5 then len(h.ps) end), 0) as bigint) as paths, cast(coalesce(sum(covered), 0) as bigint) as covered
+      from h left join al on al.y = h.id left join bl on bl.y = h.id left join cv on cv.ps = h.ps group by 1, 2""",
     "p4_found": f"""with recursive e as (select {repo('alias_url')} as a, {repo('repo_url')} as b from repo_alias), ed as (select a, b from e union select b, a from e),
       reach as (select a as v, a as w from ed union select reach.v, ed.b from reach join ed on reach.w = ed.a), comp as (select v, min(w) as c from reach group by v),
       w as (select id, plan_id, coalesce({repo('repo_url')}, 'window:' || id) as r, {split('split')} as s from {valid('split_plan', 'id')}), x as (select w.*, coalesce(c, r) as ent from w left join comp on v = r)

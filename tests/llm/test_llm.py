@@ -100,8 +100,22 @@ def test_overlap_equals_brute_force(spark, monkeypatch, hot):
         if i and rng.random() < 0.15:
             commit = data[f"id{rng.randrange(i)}"]["source_commit"][: rng.choice([6, 7, 9, 40])]
         data[f"id{i}"] = {"id": f"id{i}", "changed_paths": base, "data_split": rng.choice(["DEV", "DEV", "REPORT", "HELD_OUT"]), "source_commit": commit, "_ord": 1}
-    got = {tuple(r) for r in overlap.found(labels(spark, *data.values())).collect()}
+    t = labels(spark, *data.values())
+    got = {tuple(r) for r in overlap.found(t).collect()}
     assert got == brute_overlap(data) and got
+    leaked = {x for pair in got for x in pair if data[x]["data_split"] != "DEV"}
+    assert sum(r["leaked"] for r in overlap.report(t).collect()) == len(leaked)
+
+
+def test_overlap_of_long_changes_and_coverage(spark):
+    own = [f"p{i:04d}" for i in range(3000)]
+    near = own[:1400] + own[1500:] + ["q1", "q2"]
+    far = own[:1500] + [f"r{i}" for i in range(1500)]
+    data = [("a", "DEV", own), ("b", "REPORT", near), ("c", "HELD_OUT", far), ("d", "REPORT", ["x1", "p0000", "p0001", "p0002", "x2", "p0009", "x3"])]
+    t = labels(spark, *({"id": i, "data_split": s, "source_commit": None, "changed_paths": p, "_ord": 1} for i, s, p in data))
+    assert [tuple(r) for r in overlap.found(t).collect()] == [("a", "b")]
+    got = {r["split"]: (r["paths"], r["covered"]) for r in overlap.report(t).collect()}
+    assert got == {"REPORT": (len(near) + 7, len(near) - 2 + 3), "HELD_OUT": (3000, 1500)}
 
 
 def test_overlap_nulls_spelling_and_empty(spark, rows):
