@@ -1,26 +1,28 @@
 """Problem 2: files that nobody wrote by hand, told by path.
 
-The tables hold paths and no file contents. What is asked is what a path's name or place says (lock
-files, generated, minified and bundled files, build output, third-party folders, data saved as code)
-and what the repository's globs cover; both are decided exactly, on every path, by name lists.
-
-recurring() is the winnowing detector of vendored copies over the paths' token streams: the parts
-between / . _ - and changes of case, numbers and hexadecimal names each as one class; the smallest
-of every few hashed k-grams are the fingerprints. Without contents a hand-written path in a common
-layout recurs as much as a copy does, so it reports, and doesn't decide; the README has figures.
+The tables hold paths and no file contents, so a file's tokens are its neighbours: the names in one
+folder of a repository, normalised and in order, are a token stream. Winnowing keeps of every WINDOW
+neighbouring GRAM-grams the smallest as a fingerprint. A folder whose fingerprints largely recur in
+many unrelated repositories (aliases count as one) is a copy, wherever it lies, and all its files are
+flagged.
+
+What was vendored once, and what isn't a copy at all (lock files, generated, minified and bundled
+files, build output, data saved as code), no recurrence can show. There the exact check of a path's
+name and place decides, and the repository's own globs. report() says what each criterion adds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.columns import norm_path, repo_key, valid_rows
 from quern.functions.globs import globs_regex
+from quern.llm.components import components
 from quern.session import materialize
 
-#: k-gram length, k-grams per window, and when fingerprints recur: the share of a path's own, the number of repositories.
-GRAM, WINDOW, RECUR_SHARE, RECUR_REPOS = 4, 2, 0.8, 20
+#: Names in a gram, grams in a window, and when a folder recurs: the share of its fingerprints, the number of repositories that hold them.
+GRAM, WINDOW, RECUR_SHARE, RECUR_REPOS = 3, 2, 0.8, 20
 
 # Names as tools and package managers write them; all are compared in lower case.
 THIRD_PARTY_FOLDERS = ["vendor", "vendors", "vendored", "_vendor", "third_party", "third-party", "thirdparty", "3rdparty", "3rd_party", "node_modules", "bower_components", "jspm_packages", "godeps", "site-packages", "dist-packages", "pods", "carthage", "externals"]
@@ -39,29 +41,6 @@ NAME_RULES = [
 ]
 
 
-def path_tokens(path: Column) -> Column:
-    """The normalised token stream of a path (array of strings)."""
-    p = F.lower(F.regexp_replace(path, "([a-z0-9])([A-Z])", "$1_$2"))
-    p = F.regexp_replace(p, r"(?<![a-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f]{7,}(?![a-z0-9])", "@")
-    p = F.regexp_replace(p, r"[0-9]+", "0")
-    return F.filter(F.split(F.regexp_replace(p, "/", " / "), r"[ ._-]+"), lambda t: t != "")
-
-
-def with_fingerprints(df: DataFrame, path: str, out: str, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """Adds out: of every w neighbouring hashed k-grams of the path's tokens the smallest; a shorter stream is one k-gram.
-
-    Tokens and k-grams are columns of their own, so that no window computes them again.
-    """
-    d = df.withColumn("_tokens", path_tokens(F.col(path)))
-    count = F.greatest(F.size("_tokens") - k + 1, F.lit(1))
-    d = d.withColumn("_grams", F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("_tokens", i, F.lit(k)))))
-    least = F.col("_grams")
-    for j in range(1, w):
-        least = F.zip_with(least, F.slice("_grams", F.lit(j + 1), F.size("_grams")), lambda a, b: F.least(a, b))
-    cut = F.slice(least, F.lit(1), F.greatest(F.size("_grams") - w + 1, F.lit(1)))
-    return d.withColumn(out, F.array_distinct(cut)).drop("_tokens", "_grams")
-
-
 def path_kind(path: Column) -> Column:
     """What the name or the place of a normalised path says; null for what reads as written by hand."""
     low = F.lower(path)
@@ -96,34 +75,66 @@ def label_paths(labels: DataFrame) -> DataFrame:
     )
 
 
-def recurring(files: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_REPOS) -> DataFrame:
-    """(path, part): paths of which `share` of the fingerprints recur. files: (repo, path).
+def owners(alias: DataFrame) -> DataFrame:
+    """(repo, owner): the repositories that stand for one entity; others are their own owners."""
+    links = alias.select(repo_key("alias_url").alias("a"), repo_key("repo_url").alias("b"))
+    return components(links).select(F.col("vertex").alias("repo"), F.col("component").alias("owner"))
+
+
+def folder_prints(files: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
+    """(owner, folder, print): the fingerprints of every folder. files: (owner, path).
 
-    A fingerprint recurs if `least` repositories or more hold it. Counting repositories per
-    fingerprint combines before the shuffle; a hot fingerprint is one row per task then.
+    Names are in lower case with digits as one class; a folder with fewer than k different names has
+    no fingerprint. The names of a folder stream through a window; nothing is collected.
     """
-    prints = with_fingerprints(files.where("repo is not null").select("repo", "path").distinct(), "path", "_prints")
-    # an inner explode would have the array computed again in an inferred filter; both uses read one table
-    prints = materialize(prints.select("repo", "path", F.explode_outer("_prints").alias("print")), "prints")
-    held = prints.select("print", "repo").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("repos"))
-    many = held.where(F.col("repos") >= least).select("print")
-    own = prints.select("path", "print").distinct()
-    each = own.join(many.withColumn("hit", F.lit(1)), "print", "left").groupBy("path").agg((F.count("hit") / F.count(F.lit(1))).alias("part"))
+    folder, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.regexp_replace(F.lower(F.regexp_extract("path", "([^/]*)$", 1)), "[0-9]+", "0")
+    names = files.where(F.col("owner").isNotNull() & F.contains("path", F.lit("/"))).select("owner", folder.alias("folder"), name.alias("name"))
+    names = names.repartition("owner", "folder").distinct()
+    order = Window.partitionBy("owner", "folder").orderBy("name")
+    gram = F.when(F.lead("name", k - 1).over(order).isNotNull(), F.concat_ws("/", "name", *[F.lead("name", i).over(order) for i in range(1, k)]))
+    grams = names.withColumn("gram", gram).where("gram is not null")
+    least = F.min("gram").over(order.rowsBetween(0, w - 1))
+    return grams.select("owner", "folder", F.xxhash64(least).alias("print")).distinct()
+
+
+def recurrence(prints: DataFrame) -> DataFrame:
+    """(print, repos): how many unrelated repositories hold a fingerprint; combined before the shuffle."""
+    return prints.select("print", "owner").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("repos"))
+
+
+def recurring(prints: DataFrame, share: float = RECUR_SHARE, least: int = RECUR_REPOS) -> DataFrame:
+    """(owner, folder, part): folders of which `share` of the fingerprints are held by `least` unrelated repositories or more."""
+    many = recurrence(prints).where(F.col("repos") >= least).select("print", F.lit(1).alias("hit"))
+    each = prints.join(many, "print", "left").groupBy("owner", "folder").agg((F.count("hit") / F.count(F.lit(1))).alias("part"))
     return each.where(F.col("part") >= share)
 
 
-def classify(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+def classify(labels: DataFrame, manifest: DataFrame, alias: DataFrame) -> DataFrame:
     """(label_id, repo, path, kind): kind is null for paths written by hand.
 
-    kind is what name or place says, else glob (the repository's own globs). Labels without a
-    repository or a manifest row have no globs. The path comes as written; a path that a label
-    names twice comes once.
+    kind is copy (the folder recurs), else what name or place says, else glob (the repository's own
+    globs). Labels without a repository or a manifest row have no globs and no copies. The path comes
+    as written; a path that a label names twice comes once.
     """
-    named = label_paths(labels).withColumn("kind", path_kind(F.col("path")))
-    joined = named.join(repo_globs(manifest), "repo", "left")
+    every = label_paths(labels).join(owners(alias), "repo", "left").withColumn("owner", F.coalesce("owner", "repo"))
+    every = materialize(every, "paths")
+    copies = recurring(materialize(folder_prints(every), "prints")).select("owner", "folder", F.lit("copy").alias("copy"))
+    named = every.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).join(copies, ["owner", "folder"], "left")
+    joined = named.withColumn("kind", F.coalesce("copy", path_kind(F.col("path")))).join(repo_globs(manifest), "repo", "left")
     kind = F.coalesce(F.col("kind"), F.when(F.rlike("path", F.col("globs")), "glob"))
     return joined.select("label_id", "repo", F.col("raw").alias("path"), kind.alias("kind"))
 
 
-def found(labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    return classify(labels, manifest).where("kind is not null").select("label_id", "path")
+def found(labels: DataFrame, manifest: DataFrame, alias: DataFrame) -> DataFrame:
+    return classify(labels, manifest, alias).where("kind is not null").select("label_id", "path")
+
+
+def report(labels: DataFrame, manifest: DataFrame, alias: DataFrame) -> DataFrame:
+    """(kind, paths, labels): what each criterion adds; the null kind is written by hand."""
+    return classify(labels, manifest, alias).groupBy("kind").agg(F.count(F.lit(1)).alias("paths"), F.count_distinct("label_id").alias("labels"))
+
+
+def recurrence_report(labels: DataFrame, alias: DataFrame) -> DataFrame:
+    """(repos, prints): how many fingerprints are held by so many unrelated repositories."""
+    every = label_paths(labels).join(owners(alias), "repo", "left").select(F.coalesce("owner", "repo").alias("owner"), "path")
+    return recurrence(folder_prints(every)).groupBy("repos").agg(F.count(F.lit(1)).alias("prints"))

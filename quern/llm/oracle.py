@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm.handwritten import BUILD_FOLDERS, GENERATED_FOLDERS, LOCK_FILES, NAME_RULES, THIRD_PARTY_FOLDERS
-from quern.plans.oracle import LABEL, quoted, repo, split, strip, valid
+from quern.plans.oracle import LABEL, repo, split, strip, valid
 
 
 TERMS = f"""v as (select id, type, scope from {LABEL}),
@@ -14,19 +13,38 @@ f as (select field, term, count(*) as occurrences, count(distinct id) as records
 m as (select field, term, occurrences, records, case when records < 3 then 'rare' when records > n * 0.05::double then 'common' else 'useful' end as mark from f, n)"""
 
 PATH = "regexp_replace(replace({}, '\\', '/'), '^(\\./+)+', '')"
-_names = lambda names: "[" + quoted(names) + "]"
-_rules = " or ".join(f"regexp_matches(nm, '{r.replace('(?=[0-9a-f]*[0-9])', '')}')" for k, r in NAME_RULES if k != "bundled")
-NAMED = f"""(nm in ({quoted(LOCK_FILES)}) or {_rules} or regexp_matches(nm, '\\.(bundle|chunk|packed)\\.(js|mjs|css)$|\\.(js|mjs|css|ts)\\.map$')
-  or (regexp_matches(nm, '[.-][0-9a-f]{{8,}}\\.(js|mjs|css)$') and regexp_matches(regexp_extract(nm, '[.-]([0-9a-f]{{8,}})\\.(js|mjs|css)$', 1), '[0-9]'))
-  or list_has_any(fo, {_names(GENERATED_FOLDERS + THIRD_PARTY_FOLDERS + BUILD_FOLDERS)}) or regexp_matches(lp, '(^|/)deps/[^/]+-v?[0-9]+\\.[0-9][^/]*/'))"""
+# Fixed values, stated again here so that a wrong list can't be wrong on both sides.
+KIND = r"""case
+  when nm in ('package-lock.json', 'npm-shrinkwrap.json', 'pnpm-lock.yaml', 'pnpm-lock.yml', 'yarn.lock', 'go.sum', 'go.work.sum', 'packages.lock.json', 'gradle.lockfile', 'package.resolved', 'bun.lockb', 'mix.lock', 'cargo.lock', 'gopkg.lock') or nm like '%.lock' then 'lock'
+  when regexp_matches(nm, '[.-]min\.(js|mjs|cjs|css|html|js\.map|css\.map)$') then 'minified'
+  when regexp_matches(nm, '\.(bundle|chunk|packed)\.(js|mjs|css)$') or regexp_matches(nm, '\.(js|mjs|css|ts)\.map$')
+    or (regexp_matches(nm, '[.-][0-9a-f]{8,}\.(js|mjs|css)$') and regexp_matches(regexp_extract(nm, '[.-]([0-9a-f]{8,})\.(js|mjs|css)$', 1), '[0-9]')) then 'bundled'
+  when regexp_matches(nm, '\.(generated|gen|g|freezed)\.[a-z]+$') or regexp_matches(nm, '_generated\.[a-z]+$') or nm like 'zz\_generated.%' escape '\' or regexp_matches(nm, '_pb2(_grpc)?\.pyi?$')
+    or regexp_matches(nm, '\.pb(\.gw|\.validate)?\.(go|cc|h|swift|dart)$') or regexp_matches(nm, '_grpc\.pb\.(go|cc|h)$') or regexp_matches(nm, '\.designer\.(cs|vb)$') or regexp_matches(nm, '^(moc|qrc|ui)_.*\.(cpp|cxx|cc|h|py)$')
+    or regexp_matches(nm, '\.tab\.(c|h|cc|cpp|hh)$') or nm = 'lex.yy.c' or regexp_matches(nm, '\.yy\.(c|cc|cpp)$') or regexp_matches(nm, '\.graphql\.(js|ts|tsx)$') or regexp_matches(nm, '\.(swagger|openapi)\.json$') then 'generated'
+  when regexp_matches(nm, '\.bin\.(h|c|hpp|inc)$') or regexp_matches(nm, '[_.-](wasm_binary|wasm|base64|b64|blob|binary|font|hexdump)\.(js|ts|mjs|py|go|c|h|rs|java)$') or regexp_matches(nm, '\.(wasm|bin|dat|ttf|woff2?|eot)\.(js|ts|h|c|go|py)$') then 'data'
+  when regexp_matches(nm, '^[a-z0-9_.+-]+[-.]v?[0-9]+\.[0-9]+(\.[0-9]+)*\.(js|mjs|css)$') then 'library'
+  when list_has_any(fo, ['generated', '__generated__', 'autogenerated', 'auto_generated', 'autogen', 'gen-src', 'generated-src', 'generated-sources', 'generated_sources', 'src-gen', 'codegen-out']) then 'generated'
+  when list_has_any(fo, ['vendor', 'vendors', 'vendored', '_vendor', 'third_party', 'third-party', 'thirdparty', '3rdparty', '3rd_party', 'node_modules', 'bower_components', 'jspm_packages', 'godeps', 'site-packages', 'dist-packages', 'pods', 'carthage', 'externals'])
+    or regexp_matches(lp, '(^|/)deps/[^/]+-v?[0-9]+\.[0-9][^/]*/') then 'third_party'
+  when list_has_any(fo, ['dist', 'build', 'target', 'out', 'obj', '_build', '.next', '.nuxt', '__pycache__', 'coverage', 'htmlcov', 'deriveddata', 'cmakefiles']) then 'build' end"""
 # a shell glob as a regex: its own characters escaped, sets kept; * also crosses /
 GLOB = "'^' || replace(replace(replace(regexp_replace(g, '([.+()|^${}\\\\])', '\\\\\\1', 'g'), '[!', '[^'), '*', '.*'), '?', '.') || '$'"
 
-FOUND2 = f"""l as (select id, {repo('source_repo_url')} as repo, changed_paths from {LABEL}), p as (select distinct id, repo, unnest(changed_paths) as raw from l),
+FOUND2 = f"""recursive al as (select {repo('alias_url')} as a, {repo('repo_url')} as b from repo_alias), ed as (select a, b from al union select b, a from al),
+reach as (select a as v, a as w from ed union select reach.v, ed.b from reach join ed on reach.w = ed.a), comp as (select v as repo, min(w) as owner from reach group by v),
+l as (select id, {repo('source_repo_url')} as repo, changed_paths from {LABEL}), p as (select distinct id, repo, unnest(changed_paths) as raw from l),
 q as (select id, repo, raw, {PATH.format('raw')} as path from p where length(raw) > 0),
 k as (select *, lower(path) as lp, string_split(lower(path), '/')[-1] as nm, string_split(lower(path), '/')[:-2] as fo from q),
 mf as (select {repo('repo_url')} as repo, exclude_globs from source_manifest where {repo('repo_url')} is not null qualify row_number() over (partition by {repo('repo_url')} order by _ord desc) = 1),
-gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo)"""
+gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo),
+ow as (select k.*, coalesce(owner, repo) as own, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from k left join comp using (repo)),
+dn as (select distinct own, dir, regexp_replace(nm, '[0-9]+', '0', 'g') as n from ow where own is not null and contains(path, '/')),
+gr as (select own, dir, n, n || '/' || lead(n, 1) over o || '/' || lead(n, 2) over o as g from dn window o as (partition by own, dir order by n)),
+pr as (select distinct own, dir, min(g) over (partition by own, dir order by n rows between current row and 1 following) as p from gr where g is not null),
+rc as (select p, count(distinct own) as repos from pr group by p),
+cp as (select own, dir, true as copy from pr join rc using (p) group by own, dir having count(*) filter (repos >= 20) >= 0.8 * count(*)),
+kd as (select id, raw, case when copy then 'copy' else coalesce({KIND}, case when coalesce(regexp_matches(path, rx), false) then 'glob' end) end as kind from ow left join cp using (own, dir) left join gl using (repo))"""
 
 OVERLAP = f"""v as (select id, {repo('source_repo_url')} as repo, {split('data_split')} as s, lower({strip('source_commit')}) as c, list_sort(list_distinct(list_transform(list_filter(changed_paths, lambda x: length(x) > 0), lambda x: {PATH.format('x')}))) as ps from {LABEL}),
 w as (select * from v where s is not null), d as (select * from w where s = 'DEV'), h as (select * from w where s <> 'DEV'),
@@ -40,7 +58,9 @@ r as (select *, row_number() over (partition by repo order by q desc, id) as rn,
 SQL: dict[str, str] = {
     "p1_found": f"with {TERMS} select field, term, mark from m where mark <> 'useful'",
     "p1_terms": f"with {TERMS} select * from m",
-    "p2_found": f"with {FOUND2} select id as label_id, raw as path from k left join gl using (repo) where {NAMED} or coalesce(regexp_matches(path, rx), false)",
+    "p2_found": f"with {FOUND2} select id as label_id, raw as path from kd where kind is not null",
+    "p2_report": f"with {FOUND2} select kind, count(*) as paths, count(distinct id) as labels from kd group by kind",
+    "p2_recurring": f"with {FOUND2} select repos, count(*) as prints from rc group by repos",
     "p3_found": f"with {OVERLAP} select distinct least(x, y) as label_id_a, greatest(x, y) as label_id_b from (from a union all from b)",
     "p3_report": f"""with {OVERLAP}, sets as (select distinct ps, s = 'DEV' as dev from w where len(ps) >= 5), sp as (select ps, dev, k, ps[k : k + 2] as span from (select *, unnest(range(1, len(ps) - 1)) as k from sets)),
       sh as (select span from sp group by span having bool_or(dev) and bool_or(not dev)), cv as (select ps, count(distinct k + j) as covered from (select ps, k from sp where not dev and span in (from sh)) cross join (values (0), (1), (2)) o(j) group by ps),

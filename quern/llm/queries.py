@@ -30,8 +30,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _terms_found,
         "p1_terms": lambda s, d: terms.label_term_marks(t(s, d, "generated_label")),
-        "p2_found": lambda s, d: handwritten.found(t(s, d, "generated_label"), t(s, d, "source_manifest")),
-        "p2_recurring": lambda s, d: handwritten.recurring(handwritten.label_paths(t(s, d, "generated_label")).select("repo", "path")),
+        "p2_found": lambda s, d: handwritten.found(*(t(s, d, n) for n in ("generated_label", "source_manifest", "repo_alias"))),
+        "p2_report": lambda s, d: handwritten.report(*(t(s, d, n) for n in ("generated_label", "source_manifest", "repo_alias"))),
+        "p2_recurring": lambda s, d: handwritten.recurrence_report(t(s, d, "generated_label"), t(s, d, "repo_alias")),
         "p3_found": lambda s, d: overlap.found(t(s, d, "generated_label")),
         "p3_report": lambda s, d: overlap.report(t(s, d, "generated_label")),
         "p4_found": lambda s, d: components.torn_windows(*_plan(s, d)),

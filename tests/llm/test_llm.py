@@ -60,13 +60,23 @@ def test_globs_and_spelling(spark, rows):
         {"id": "c", "source_repo_url": "https://h.example/o/n", "changed_paths": None, "_ord": 1},
     )
     m = spark.createDataFrame([("https://www.h.example/O/N/", ["legacy/**", "schema/[a-m]*.json", "", None], 2), ("https://h.example/o/n", ["src/*"], 1), (None, ["*"], 5)], "repo_url string, exclude_globs array<string>, _ord bigint")
-    assert rows(handwritten.found(t, m)) == [("a", "./legacy\\x\\y.py"), ("a", "schema/b.json"), ("b", "vendor/a.py")]
+    none = spark.createDataFrame([], "alias_url string, repo_url string")
+    assert handwritten.found(t.limit(0), m.limit(0), none).count() == 0
+    assert {r["kind"]: r["paths"] for r in handwritten.report(t, m, none).collect()} == {"glob": 2, "third_party": 1, None: 3}
+    assert rows(handwritten.found(t, m, none)) == [("a", "./legacy\\x\\y.py"), ("a", "schema/b.json"), ("b", "vendor/a.py")]
 
 
 def test_winnowing_finds_copies_in_many_repositories(spark):
-    files = spark.range(30).select(F.concat(F.lit("h/o/"), "id").alias("repo"), F.lit("ext/libfoo/parser/core_tables_v2.c").alias("path")).union(spark.range(30).select(F.concat(F.lit("h/o/"), "id"), F.concat(F.lit("own"), F.col("id"), F.lit("/"), F.hex(F.xxhash64("id", F.lit(3))), F.lit("zz.c"))))
-    assert [r["path"] for r in handwritten.recurring(files, least=20).collect()] == ["ext/libfoo/parser/core_tables_v2.c"]
-    assert handwritten.recurring(files.limit(0)).count() == 0
+    copy = ["tables_v2.c", "tables_v2.h", "core.c", "lexer.c", "README"]
+    data = [(f"https://h/o/r{i}", [f"ext{i}/libfoo/{n}" for n in copy] + [f"src/{chr(97 + i)}own_{j}.c" for j in "abcde"] + ["index.js", "src/main.c"]) for i in range(25)]
+    data += [(f"https://h/o/alias{i}", [f"pkg/few/{n}" for n in ("a.c", "b.c", "c.c")]) for i in range(19)] + [(f"https://h/o/same{i}", [f"pkg/few/{n}" for n in ("a.c", "b.c", "c.c")]) for i in range(8)]
+    t = labels(spark, *({"id": f"l{i}", "source_repo_url": u, "changed_paths": p, "_ord": 1} for i, (u, p) in enumerate(data)), {"id": "n", "source_repo_url": None, "changed_paths": ["x/a", "x/b", "x/c"], "_ord": 1})
+    m = spark.createDataFrame([], "repo_url string, exclude_globs array<string>, _ord bigint")
+    a = spark.createDataFrame([(f"https://h/o/same{i}", "https://h/o/alias0") for i in range(8)], "alias_url string, repo_url string")
+    got = handwritten.classify(t, m, a).where("kind is not null").collect()
+    assert {r["kind"] for r in got} == {"copy"} and len(got) == 25 * 5 and all("libfoo" in r["path"] for r in got)
+    assert {r["repos"]: r["prints"] for r in handwritten.recurrence_report(t, a).collect()}[19] == 1
+    assert handwritten.recurrence_report(t.limit(0), a.limit(0)).count() == 0
 
 
 # 3 overlap
