@@ -2,9 +2,10 @@
 
 A vocabulary becomes a double-array trie over bytes; the best path through a segment (a word with
 the mark of the space before it) is found by Viterbi search that keeps a count of pieces instead of
-the path. For unigram vocabularies the pieces' own scores decide, and the count is exact. A
-vocabulary of merges has ranks instead of scores; there a piece's logarithmic probability is taken
-from its rank by Zipf's law, and the count is an estimate (figures in the README).
+the path. Texts are normalised by the model's own rules first. For unigram vocabularies the pieces' own
+scores decide, and the count is exact. A vocabulary of merges has ranks instead of scores; there a
+piece's logarithmic probability is taken from its rank by Zipf's law, the best path's count is an
+estimate (figures in the README), and the number of pieces the merges leave stands beside it.
 """
 
 from __future__ import annotations
@@ -31,18 +32,26 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def vocabulary(model: str) -> dict[bytes, float]:
-    """Piece -> cost (negative logarithm of its probability) of a sentencepiece model."""
+def processor(model: str):  # noqa: ANN201
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    return sentencepiece.SentencePieceProcessor(model_file=model)
+
+
+def has_merges(sp) -> bool:  # noqa: ANN001
+    """Whether the scores are ranks of merges and not logarithms of probabilities."""
+    scores = [sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    return all(float(s).is_integer() for s in scores) and len(set(scores)) > len(scores) // 2
+
+
+def vocabulary(model: str) -> dict[bytes, float]:
+    """Piece -> cost (negative logarithm of its probability) of a sentencepiece model."""
+    sp = processor(model)
     kept = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
     scores = {sp.id_to_piece(i): sp.get_score(i) for i in kept}
-    ranks = sorted(scores.values(), reverse=True)
-    merges = all(float(s).is_integer() for s in ranks) and len(set(ranks)) > len(ranks) // 2
-    if not merges:
+    if not has_merges(sp):
         return {p.encode(): -s for p, s in scores.items()}
-    whole = math.log(sum(1 / (r + 1) for r in range(len(ranks))))
+    whole = math.log(sum(1 / (r + 1) for r in range(len(scores))))
     return {p.encode(): math.log(-s + 1) + whole for p, s in scores.items()}
 
 
@@ -111,8 +120,9 @@ class DoubleArray:
 class Counter(dict):
     """Segment -> tokens, remembered; forgets itself when it has grown large."""
 
-    def __init__(self, trie: DoubleArray) -> None:
+    def __init__(self, trie: DoubleArray, normalize=None) -> None:  # noqa: ANN001
         self.trie = trie
+        self.normalize = normalize or (lambda text: "▁" + text.replace(" ", "▁"))
 
     def __missing__(self, segment: str) -> int:
         if len(self) > 500_000:
@@ -124,27 +134,34 @@ class Counter(dict):
         """Null and empty texts have 0 tokens."""
         if not text:
             return 0
-        return sum(map(self.__getitem__, SEGMENT.findall("▁" + text.replace(" ", "▁"))))
+        return sum(map(self.__getitem__, SEGMENT.findall(self.normalize(text))))
 
 
-def token_counter(model: str | None = None):
-    """A column function: text -> number of tokens (bigint). The trie, bounded by the vocabulary, goes to the tasks."""
-    trie = DoubleArray(vocabulary(model or default_model()))
+def token_counter(model: str | None = None):  # noqa: ANN201
+    """A column function: text -> struct(tokens, exact), bigint. The trie, bounded by the vocabulary, goes to the tasks.
+
+    tokens: pieces on the best path; exact: the model's own count. They are the same for unigram models.
+    """
+    path = model or default_model()
+    trie, merges = DoubleArray(vocabulary(path)), has_merges(processor(path))
 
-    @F.pandas_udf("bigint")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = Counter(trie)
+    @F.pandas_udf("tokens bigint, exact bigint")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sp = processor(path)
+        counter = Counter(trie, sp.normalize)
         for part in texts:
-            yield part.map(counter.tokens).astype("int64")
+            best = part.map(counter.tokens).astype("int64")
+            exact = pd.Series([len(sp.encode(t)) if t else 0 for t in part], dtype="int64") if merges else best
+            yield pd.DataFrame({"tokens": best.to_numpy(), "exact": exact.to_numpy()})
 
     return count
 
 
 def document_tokens(documents: DataFrame, model: str | None = None) -> DataFrame:
-    """(source, lang, repo, documents, tokens): null where a document doesn't name them."""
+    """(source, lang, repo, documents, tokens, exact): null where a document doesn't name them."""
     blank_null = lambda c: F.when(F.length(c) > 0, c)
-    rows = documents.select(blank_null(folded("source")).alias("source"), blank_null(folded("lang")).alias("lang"), repo_key("repo_url").alias("repo"), token_counter(model)("text").alias("tokens"))
-    return rows.groupBy("source", "lang", "repo").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("tokens"))
+    rows = documents.select(blank_null(folded("source")).alias("source"), blank_null(folded("lang")).alias("lang"), repo_key("repo_url").alias("repo"), token_counter(model)("text").alias("c"))
+    return rows.groupBy("source", "lang", "repo").agg(F.count(F.lit(1)).alias("documents"), F.sum("c.tokens").alias("tokens"), F.sum("c.exact").alias("exact"))
 
 
 def loss_tokens(meta: DataFrame, labels: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -167,8 +184,8 @@ def loss_tokens(meta: DataFrame, labels: DataFrame, manifest: DataFrame) -> Data
 
 
 def budget(documents: DataFrame, meta: DataFrame, labels: DataFrame, manifest: DataFrame, model: str | None = None) -> DataFrame:
-    """(part, source, lang, repo, ecosystem, records, tokens): both totals in one table; part is text or loss."""
+    """(part, source, lang, repo, ecosystem, records, tokens, exact): both totals in one table; part is text or loss, whose tokens are exact."""
     none = F.lit(None).cast("string")
-    text = document_tokens(documents, model).select(F.lit("text").alias("part"), "source", "lang", "repo", none.alias("ecosystem"), F.col("documents").alias("records"), "tokens")
-    loss = loss_tokens(meta, labels, manifest).select(F.lit("loss").alias("part"), none.alias("source"), none.alias("lang"), "repo", "ecosystem", "records", "tokens")
+    text = document_tokens(documents, model).select(F.lit("text").alias("part"), "source", "lang", "repo", none.alias("ecosystem"), F.col("documents").alias("records"), "tokens", "exact")
+    loss = loss_tokens(meta, labels, manifest).select(F.lit("loss").alias("part"), none.alias("source"), none.alias("lang"), "repo", "ecosystem", "records", "tokens", F.col("tokens").alias("exact"))
     return text.unionByName(loss)

@@ -208,12 +208,18 @@ def test_token_estimate_is_near_the_tokenizer(spark):
     counter = tokens.Counter(tokens.DoubleArray(tokens.vocabulary(tokens.default_model())))
     mine, exact = sum(map(counter.tokens, texts)), sum(len(x) for x in sp.encode(texts))
     assert abs(mine / exact - 1) < 0.08 and counter.tokens(None) == counter.tokens("") == 0
+    texts += [None, "", "  two  spaces ", "\x00 odd \u2028 é ﬁ <s>", "x" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(tokens.token_counter()("t").alias("c"), "t")
+    for r in df.collect():
+        assert r["c"]["exact"] == (len(sp.encode(r["t"])) if r["t"] else 0)
+        # a run of one letter is where merges and best paths differ most: a third here
+        assert abs(r["c"]["tokens"] - r["c"]["exact"]) <= (0.34 if r["t"] and r["t"][0] == "x" else 0.2) * r["c"]["exact"] + 2
 
 
 def test_document_tokens_and_loss_tokens(spark, rows):
     d = spark.createDataFrame([(1, "a b", " EN", "S ", "https://h/o/n.git"), (2, None, None, "", None), (3, "", "en", "s", "https://h/o/n")], "doc_id bigint, text string, lang string, source string, repo_url string")
     got = rows(tokens.document_tokens(d))
-    assert got == [(None, None, None, 1, 0), ("s", "en", "h/o/n", 2, got[1][4])] and got[1][4] > 0
+    assert got == [(None, None, None, 1, 0, 0), ("s", "en", "h/o/n", 2, got[1][4], got[1][5])] and got[1][4] > 0 and got[1][5] > 0
     m = spark.createDataFrame([("r1", "x", 5, 9, 1), ("r1", "x", 7, 9, 2), ("r2", "x", 10, 9, 1), ("r3", None, 3, None, 1), ("r4", "x", None, 5, 1)], "record_id string, source_diff_id string, loss_tokens bigint, input_length bigint, _ord bigint")
     t = labels(spark, {"id": "generated-x", "source_repo_url": "https://h/o/n", "_ord": 1})
     e = spark.createDataFrame([("https://h/o/N/", " Java ", 1)], "repo_url string, ecosystem string, _ord bigint")
