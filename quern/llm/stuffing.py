@@ -20,7 +20,6 @@ import re
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +50,8 @@ SEPARATOR = re.compile(r"[,;:>|/()•·*#=–—]|(?<=\s)-(?=\s)")
 #: A written sentence has at least so many words, so varied, and so few separators a word.
 LEAST, VARIED, LISTED = 5, 0.7, 0.25
 EXEMPT, PLAIN, LINKED, WRITTEN = 0, 1, 2, 3
+#: Letters read at once.
+CHUNK = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,14 +69,60 @@ def is_code(line: str, linked: bool) -> bool:
     return rest == line or bool(CODE_LEFT.match(rest))
 
 
-class WordHash(dict):
-    """64-bit hashes of words, numbers as one class; forgets itself when it has grown large."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 well spread bits for each number."""
+    x = x.astype(np.uint64) * MIX
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest("0" if word.isdecimal() else word)
-        return h
+
+class Letters:
+    """Tables over code points below 1 << 16 (others are asked for one by one), and powers of an odd base and of its inverse."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        points = [chr(i) for i in range(1 << 16)]
+        self.word = np.array([c.isalnum() for c in points])
+        self.digit = np.array([c.isdecimal() for c in points])
+        self.value = _mixed(np.array([ord(c.lower()[0]) for c in points]))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, f, np.uint64)])) for f in (self.BASE, inverse))
+        return self.up, self.down
+
+    def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of the runs of letters and digits; letter case doesn't matter, numbers are one class.
+
+        A word's hash is a polynomial over its letters' values, taken from running sums modulo 1 << 64.
+        """
+        point = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        low = np.minimum(point, np.uint32(0xFFFF))
+        word, digit, value = self.word[low], self.digit[low], self.value[low]
+        high = np.flatnonzero(point > 0xFFFF)
+        if len(high):
+            own = [chr(i) for i in point[high].tolist()]
+            word[high], digit[high] = [c.isalnum() for c in own], [c.isdecimal() for c in own]
+            value[high] = _mixed(np.array([ord(c.lower()[0]) for c in own]))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).view(np.int8)))
+        start, end = edge[::2], edge[1::2]
+        up, down = self.powers(len(point))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[: len(point)])])
+        digits = np.concatenate([np.zeros(1, np.int32), np.cumsum(digit, dtype=np.int32)])
+        number = digits[end] - digits[start] == end - start
+        return start, end, np.where(number, np.uint64(0x30), _mixed((sums[end] - sums[start]) * down[start]))
+
+
+_LETTERS: list[Letters] = []
+
+
+def letters() -> Letters:
+    if not _LETTERS:
+        _LETTERS.append(Letters())
+    return _LETTERS[0]
 
 
 def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -113,44 +160,48 @@ def marked_words(text: str) -> tuple[list[str], list[int], list[int]]:
     return words, counts, marks
 
 
-def plain_words(text: str) -> tuple[list[str], list[int], list[int]]:
-    """The same words as marked_words, with links as the only segments told apart."""
-    if not may_link(text):
-        words = WORD.findall(text.lower())
-        return words, [len(words)], [PLAIN]
-    words, counts, marks = [], [], []
-    for k, part in enumerate(LINK.split(text)):
-        own = WORD.findall(part.lower())
-        words += own
-        counts.append(len(own))
-        marks.append(LINKED if k % 2 else PLAIN)
-    return words, counts, marks
+class Block:
+    """The words of some documents as arrays: hash, document, length, mark and segment, and their pairs.
 
+    marked: segments and marks as marked_words tells them; otherwise links are the only words told
+    apart. Texts are read together until they have CHUNK letters, a longer one by itself.
+    """
 
-class Block:
-    """The words of some documents as arrays: hash, document, length, mark and segment, and their pairs. read: text -> words, segments' sizes, marks."""
-
-    def __init__(self, texts: list[str | None], cache: WordHash, read=marked_words) -> None:  # noqa: ANN001
-        h: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        counts: list[int] = []
-        parts: list[int] = []
-        marks: list[int] = []
-        for text in texts:
-            words, sizes, own = read(text) if text else ([], [], [])
-            parts += sizes
-            marks += own
-            lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
-            h.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-            counts.append(len(words))
-        self.hash = np.concatenate(h) if h else np.empty(0, np.uint64)
-        self.mark = np.repeat(np.array(marks, np.int8), np.array(parts, np.int64))
-        self.segment = np.repeat(np.arange(len(parts)), np.array(parts, np.int64))
-        self.length = np.concatenate(lengths) if lengths else np.empty(0, np.int32)
-        self.docs, self.counts = len(texts), np.array(counts)
-        self.doc = np.repeat(np.arange(len(texts)), counts)
-        inside = self.doc[1:] == self.doc[:-1] if len(self.doc) else np.empty(0, bool)
-        self.first = np.flatnonzero(inside)  # the position of each pair's first word
+    def __init__(self, texts: list[str | None], marked: bool = True) -> None:
+        read, parts, marks, links = [], [], [], []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (size < CHUNK or end == at):
+                size += len(texts[end] or "") + 1
+                end += 1
+            some = [t or "" for t in texts[at:end]]
+            joined = "\n".join(some)
+            start, stop, h = letters().words(joined)
+            bounds = np.cumsum([0] + [len(t) + 1 for t in some])
+            read.append((np.searchsorted(bounds, start, "right") - 1 + at, stop - start, h))
+            if marked:
+                for t in some:
+                    _, sizes, own = marked_words(t)
+                    parts += sizes
+                    marks += own
+            else:
+                link = np.zeros(len(start), bool)
+                spans = [m.span() for m in LINK.finditer(joined)] if may_link(joined) else []
+                if spans:
+                    lo, hi = (np.searchsorted(start, x) for x in np.array(spans).T)
+                    step = np.bincount(lo, minlength=len(start) + 1) - np.bincount(hi, minlength=len(start) + 1)
+                    link = np.cumsum(step)[:-1] > 0
+                links.append(link)
+            at = end
+        join = lambda k, kind: np.concatenate([x[k] for x in read]) if read else np.empty(0, kind)
+        self.doc, self.length, self.hash = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        if marked:
+            self.mark, self.segment = np.repeat(np.array(marks, np.int8), parts), np.repeat(np.arange(len(parts)), parts)
+        else:
+            self.mark, self.segment = np.where(np.concatenate(links) if links else np.empty(0, bool), LINKED, PLAIN).astype(np.int8), np.zeros(len(self.hash), np.int64)
+        self.docs, self.counts = len(texts), np.bincount(self.doc, minlength=len(texts))
+        self.first = np.flatnonzero(self.doc[1:] == self.doc[:-1])  # the position of each pair's first word
         self.pair = (self.hash[self.first] * MIX + self.hash[self.first + 1]) * MIX | np.uint64(1)
         self.word = self.hash & ~np.uint64(1)  # words are even, pairs are odd
 
@@ -263,10 +314,10 @@ def looked_up(block: Block, key: np.ndarray, total: np.ndarray) -> tuple[np.ndar
     return total[np.searchsorted(key, block.word)].astype(float), total[np.searchsorted(key, block.pair)].astype(float)
 
 
-def score_block(texts: list[str | None], cache: WordHash, own: Block, at_key: np.ndarray, key: np.ndarray, total: np.ndarray, words: float, pairs: float) -> pd.DataFrame:
+def score_block(texts: list[str | None], own: Block, at_key: np.ndarray, key: np.ndarray, total: np.ndarray, words: float, pairs: float) -> pd.DataFrame:
     """Per text: suspected and stuffed (shares of letters), association (mean PMI), and n words.
 
-    own: the texts, read by plain_words; key, total: corpus counts of what it holds; at_key: the place
+    own: the texts, not marked; key, total: corpus counts of what it holds; at_key: the place
     of its words and then its pairs in key.
     """
     each, n = total[at_key].astype(float), len(own.word)
@@ -274,7 +325,7 @@ def score_block(texts: list[str | None], cache: WordHash, own: Block, at_key: np
     suspected = first.suspected()
     stuffed, at = suspected.copy(), np.flatnonzero(suspected > SHARE)
     if len(at):
-        block = Block([texts[i] for i in at], cache)
+        block = Block([texts[i] for i in at])
         stuffed[at] = Evidence(block, *looked_up(block, key, total), words, pairs).checked()
     return pd.DataFrame({"suspected": suspected, "stuffed": stuffed, "association": first.association(), "words": own.counts.astype("int64")})
 
@@ -301,7 +352,7 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
         if not len(left):
             return pd.DataFrame({"_block": [], "h": [], "n": [], "seen": []})
         _, texts = distinct_texts(left)
-        own = Block(texts["_text"].tolist(), WordHash(), plain_words)
+        own = Block(texts["_text"].tolist(), False)
         keys, seen = count_block(own)
         n = seen.copy()
         elsewhere = texts["_hash"].isin(right["_h"]).to_numpy()
@@ -320,12 +371,11 @@ def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", block:
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at, texts = distinct_texts(left)
-        cache = WordHash()
-        own = Block(texts["_text"].tolist(), cache, plain_words)
+        own = Block(texts["_text"].tolist(), False)
         keys, at_key, n = np.unique(np.concatenate([own.word, own.pair]), return_inverse=True, return_counts=True)
         total = n.astype(np.int64)
         total[np.searchsorted(keys, right["h"].to_numpy(np.int64).view(np.uint64))] = right["total"].to_numpy(np.int64)
-        out = score_block(texts["_text"].tolist(), cache, own, at_key, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0)).iloc[at].reset_index(drop=True)
+        out = score_block(texts["_text"].tolist(), own, at_key, keys, total, sizes.get(0, 1.0), sizes.get(1, 1.0)).iloc[at].reset_index(drop=True)
         out.insert(0, "_key", left["_key"].to_numpy())
         return out
 

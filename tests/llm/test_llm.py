@@ -465,6 +465,23 @@ def test_code_and_logs_with_links_are_exempt(line):
     assert stuffing.marked_words(line)[2] == [stuffing.EXEMPT]
 
 
+def test_words_are_read_as_the_pattern_says(monkeypatch):
+    texts = ["Ünïcode_word 12 x²³ ٣٤ Ⅷ 𝒳𝒴1 a_b", None, "", "http://a.b/c [x](y) #tag <b>Bold</b>\n#1 c#d", "ΑΣ Straße İx", "-- \u2028 \ud7ff", "12 13 1a"]
+    words = [w for t in texts for w in stuffing.WORD.findall(t or "")]
+    for chunk in (1, 1 << 20):
+        monkeypatch.setattr(stuffing, "CHUNK", chunk)
+        plain, full = stuffing.Block(texts, False), stuffing.Block(texts)
+        assert plain.length.tolist() == [len(w) for w in words] and (plain.hash == full.hash).all() and (plain.doc == full.doc).all()
+        assert plain.counts.tolist() == [len(stuffing.WORD.findall(t or "")) for t in texts]
+        same = {}
+        for w, h in zip(words, plain.hash.tolist(), strict=True):
+            key = "0" if w.isdecimal() else "".join(c.lower()[0] for c in w)
+            assert same.setdefault(key, h) == h
+        assert len(set(same.values())) == len(same)
+        linked = [w for w, m in zip(words, plain.mark, strict=True) if m == stuffing.LINKED]
+        assert linked == ["http", "a", "b", "c", "x", "y", "tag", "b", "b"]
+
+
 def test_a_page_of_indented_links_is_found(spark):
     pages = ["\n".join(f"    - [item {i}](https://shop-{i}.example/p)" for i in range(40)), "\n".join(["-   cheap git hooks", "-   best git hooks"] * 30)]
     rng = random.Random(4)
@@ -479,7 +496,7 @@ def test_repetition_counts_in_written_sentences_too():
     lines = "\n".join(["cheap red running shoes outlet deals"] * 200)
     written = "cheap red running shoes outlet deals today online now"
     mixed = "\n".join([written, written, written.replace(" ", ", ")])  # the written lines count for the list
-    block = stuffing.Block([*good, lines, mixed], stuffing.WordHash())
+    block = stuffing.Block([*good, lines, mixed])
     keys, total = stuffing.count_block(block)
     words, pairs = (float(total[(keys & np.uint64(1)) == odd].sum()) for odd in (0, 1))
     share = stuffing.Evidence(block, *stuffing.looked_up(block, keys, total), words, pairs).checked()
