@@ -89,11 +89,12 @@ def shared_spans(suffixes: DataFrame) -> DataFrame:
 
 
 def coverage(shared: DataFrame) -> DataFrame:
-    """(cls, n, covered): how many paths of a class lie in shared spans, which are merged."""
-    spans = shared.groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("at")).alias("ats"))
-    after = F.slice("ats", F.lit(2), F.size("ats"))
-    steps = F.zip_with(after, "ats", lambda b, a: F.least(F.coalesce(b - a, F.lit(SPAN)), F.lit(SPAN)))
-    return spans.select("cls", "n", F.aggregate(steps, F.lit(0), lambda a, x: a + x).alias("covered"))
+    """(cls, n, dev, held, spans, covered): a class's shared spans, and how many of its paths lie in them when they are merged."""
+    own = F.array_sort(F.collect_list(F.struct("at", *KEY, "k", "hot"))).alias("spans")
+    per = shared.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "dev", "held")], own)
+    after = F.slice("spans", F.lit(2), F.size("spans"))
+    steps = F.zip_with(after, "spans", lambda b, a: F.least(F.coalesce(b["at"] - a["at"], F.lit(SPAN)), F.lit(SPAN)))
+    return per.withColumn("covered", F.aggregate(steps, F.lit(0), lambda a, x: a + x))
 
 
 def _by_rarest(hot: DataFrame, classes: DataFrame) -> DataFrame:
@@ -115,27 +116,17 @@ def path_links(ch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls_dev, cls_held): sets of both sides with Jaccard >= 0.8, equal ones included, each pair once; and coverage()."""
     classes = materialize(path_classes(ch), "classes")
     suffixes = materialize(suffix_array(classes), "suffixes")
-    shared = materialize(shared_spans(suffixes), "spans")
-    covered = coverage(shared)
-    well = shared.join(covered.where(F.col("covered") * 5 >= F.col("n") * 2).select("cls"), "cls", "left_semi").where("k > 1")
-    pairs = _candidates(well.where("not hot"), KEY).unionByName(_by_rarest(well.where("hot"), classes)).distinct()
-    names = classes.select("cls", "id").join(ch.select("id", "names"), "id")
-    common = F.size(F.array_intersect("n_dev", "n_held"))
-    ids = classes.select("cls", "paths")
+    covered = materialize(coverage(shared_spans(suffixes)), "spans")
+    well = covered.where(F.col("covered") * 5 >= F.col("n") * 2).select("cls", "n", "dev", "held", F.explode("spans").alias("s")).where("s.k > 1").select("cls", "n", "dev", "held", "s.*")
+    # tables that are written have a known size, so that the large sides of the joins below may stay where they are
+    pairs = materialize(_candidates(well.where("not hot"), KEY).unionByName(_by_rarest(well.where("hot"), classes)).distinct(), "pairs")
     # on hashes first, which can only find too much, then on the strings of what is left
     alike = lambda a, b: (lambda c: c * 5 >= (F.size(a) + F.size(b) - c) * 4)(F.size(F.array_intersect(a, b)))
-    likely = (
-        pairs.join(ids.select(F.col("cls").alias("cls_dev"), F.col("paths").alias("p_dev")), "cls_dev")
-        .join(ids.select(F.col("cls").alias("cls_held"), F.col("paths").alias("p_held")), "cls_held")
-        .where(alike("p_dev", "p_held"))
-        .select("cls_dev", "cls_held")
-    )
-    near = (
-        likely.join(names.select(F.col("cls").alias("cls_dev"), F.col("names").alias("n_dev")), "cls_dev")
-        .join(names.select(F.col("cls").alias("cls_held"), F.col("names").alias("n_held")), "cls_held")
-        .where(common * 5 >= (F.size("n_dev") + F.size("n_held") - common) * 4)
-        .select("cls_dev", "cls_held")
-    )
+    side = lambda k: classes.select(F.col("cls").alias(f"cls_{k}"), F.col("id").alias(f"id_{k}"), F.col("paths").alias(f"p_{k}"))
+    likely = pairs.join(side("dev"), "cls_dev").join(side("held"), "cls_held").where(alike("p_dev", "p_held")).drop("p_dev", "p_held")
+    likely = materialize(likely, "likely")
+    names = lambda k: ch.select(F.col("id").alias(f"id_{k}"), F.col("names").alias(f"n_{k}"))
+    near = likely.join(names("dev"), "id_dev").join(names("held"), "id_held").where(alike("n_dev", "n_held")).select("cls_dev", "cls_held")
     same = classes.where("dev and held").select(F.col("cls").alias("cls_dev"), F.col("cls").alias("cls_held"))
     return near.unionByName(same), covered
 
