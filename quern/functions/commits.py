@@ -131,7 +131,7 @@ def with_score(
         "brevity": F.length(p("subject")).between(1, max_subject),
         "body_presence": F.when(wants["body"], F.exists(p("body"), lambda x: F.regexp_replace(x, _SPACES, "") != "")),
         "footer_presence": F.when(wants["footer"], F.size(p("footers")) > 0),
-        "mixed_change_warning": F.when(wants["mixed"], F.contains(low, F.lit("mixed")) | F.contains(low, F.lit("split"))),
+        "mixed_change_warning": F.when(wants["mixed"], F.contains(low, F.lit("mixed")) | F.contains(low, F.lit("split")) | F.contains(low, F.lit("separate commit"))),
         "breaking_change_detection": F.when(wants["breaking"], p("breaking")),
     }
     expected = {
@@ -139,6 +139,7 @@ def with_score(
         "body_presence": wants["body"], "footer_presence": wants["footer"], "mixed_change_warning": wants["mixed"], "breaking_change_detection": wants["breaking"],
     }
     d = d.withColumns({f"_{k}": F.when(failed, F.when(expected[k], False)).otherwise(v) for k, v in judged.items()})
+    # fixed values: the texts of the errors
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     got_scope = F.coalesce(quoted(p("scope")), F.lit("None"))
     texts = [

@@ -49,6 +49,48 @@ def is_tests(path: Column) -> Column:
     return _folded(path).rlike(r"^tests?/|/tests?/|test_|_test\.")
 
 
+# Subjects that name no change of code, parts, names and extensions of paths that hold none, and those that do.
+NOISE_SUBJECT = r"(?iU)\b(merge|revert|release|bump|deps?|dependenc|changelog|change log|pre-commit|version)\b"
+NOISE_PARTS = [".github", "docs", "doc", "documentation", "changelog", "changes", "news", "release", "releases", "vendor", "generated", "dist", "build", "coverage"]
+CONFIG_NAMES = ["package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "uv.lock", "cargo.lock", "go.sum", "package.json", ".pre-commit-config.yaml"]
+DOC_EXTENSIONS = [".md", ".rst", ".txt", ".adoc", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico"]
+CODE_EXTENSIONS = [".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".rs", ".go", ".java", ".kt", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs", ".rb", ".php", ".swift", ".vue", ".svelte"]
+TEST_PARTS = ["test", "tests", "testing", "spec", "specs", "cases"]
+SNAPSHOT_PARTS = ["baselines", "snapshots", "snapshot"]
+#: A change of snapshots is bulk above so many files or changed lines.
+BULK_FILES, BULK_LINES = 8, 800
+
+
+def is_noise_subject(subject: Column) -> Column:
+    return F.coalesce(F.rlike(subject, F.lit(NOISE_SUBJECT)), F.lit(False))
+
+
+def is_noise(path: Column) -> Column:
+    """Whether a path is documentation, configuration, a lock file, or lies in a folder of such."""
+    p = F.lower(path)
+    return has_part(p, NOISE_PARTS) | F.substring_index(p, "/", -1).isin(CONFIG_NAMES) | extension(p).isin(DOC_EXTENSIONS)
+
+
+def all_noise(paths: Column) -> Column:
+    """An empty list is all noise."""
+    return F.forall(paths, is_noise)
+
+
+def has_code_or_tests(paths: Column) -> Column:
+    return F.exists(paths, lambda p: extension(F.lower(p)).isin(CODE_EXTENSIONS) | has_part(F.lower(p), TEST_PARTS))
+
+
+def is_snapshot_bulk(paths: Column, files: Column, lines: Column) -> Column:
+    """A change of expected output that is large by its files or by its inserted and deleted lines."""
+    return F.exists(paths, lambda p: has_part(F.lower(p), SNAPSHOT_PARTS)) & ((files > BULK_FILES) | (lines > BULK_LINES))
+
+
+def local_path(url: Column, host: str = "https://github.com/", root: str = "sources/github.com/") -> Column:
+    """Where a repository lies below the data folder; an error for a URL of another host. One .git and slashes at the end don't count."""
+    own = trimmed_url(url)
+    return F.when(F.startswith(own, F.lit(host)), F.concat(F.lit(root), F.substr(own, F.lit(len(host) + 1)))).when(url.isNotNull(), F.raise_error(F.concat(F.lit("unsupported repo URL: "), url)))
+
+
 def tokens(paths: Column) -> Column:
     """Lower-case words of every path segment without its last extension; null lists have none."""
     own = F.transform(F.coalesce(paths, F.array().cast("array<string>")), lambda p: F.regexp_replace(_folded(p), "^/+|/+$", ""))

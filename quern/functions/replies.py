@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.commits import HEADER, lines_of, with_parsed
 
+# The fields of a reply and the warning that goes with a plain message; below, the marks of fences and think tags.
 SCHEMA = "header string, body string, footers string, type string, scope string, confidence double, warnings string, evidence_paths array<string>"
 RECOVERED = "teacher output was plain Conventional Commit text; normalized to JSON candidate"
 

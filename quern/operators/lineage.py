@@ -45,7 +45,7 @@ def all_or_nothing(rows: DataFrame, errors: str = "errors", most: int = 20) -> D
 
 
 def rule_errors(rules: list[tuple[Column, str]]) -> Column:
-    """array<string> of the messages whose condition is not true, in order; a null condition is a failure."""
+    """array<string> of the messages whose condition is not true, in order; a null condition is a failure (see records for rules that give their message)."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for ok, text in rules]))
 
 

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 
 def tri_state(rows: DataFrame, signals: list[str], by: list[str], total: bool = True) -> DataFrame:
-    """(by, signal, n_true, n_false, n_null) for every signal; with total also over everything, where by is null.
+    """(by, signal, n_true, n_false, n_null) for every signal; with total also over all values of the first of by, which is null then.
 
-    One pass: all signals are counted together and unpivoted after the aggregation.
+    One pass: all signals are counted together, totals are sums of the groups' rows, and the counts
+    are unpivoted at the end.
     """
-    aggs = [f(s).cast("bigint").alias(f"{s}__{k}") for s in signals for k, f in (("t", lambda s: F.count_if(s)), ("f", lambda s: F.count_if(~F.col(s))), ("n", lambda s: F.count_if(F.col(s).isNull())))]
-    grouped = (rows.rollup(*by) if total else rows.groupBy(*by)).agg(*aggs)
+    counts = [f"{s}__{k}" for s in signals for k in "tfn"]
+    kinds = {"t": lambda s: F.count_if(s), "f": lambda s: F.count_if(~F.col(s)), "n": lambda s: F.count_if(F.col(s).isNull())}
+    grouped = rows.groupBy(*by).agg(*[kinds[c[-1]](c[:-3]).cast("bigint").alias(c) for c in counts])
+    if total:
+        kind = dict(rows.dtypes)[by[0]]
+        # the groups' rows are read twice, a few rows; an empty table has no total either
+        every = grouped.groupBy(*by[1:]).agg(*[F.sum(c).alias(c) for c in counts]).where(F.col(counts[0]).isNotNull())
+        grouped = grouped.unionByName(every.withColumn(by[0], F.lit(None).cast(kind)))
     entries = F.array(*[F.struct(F.lit(s).alias("signal"), *[F.col(f"{s}__{k}").alias(n) for k, n in (("t", "n_true"), ("f", "n_false"), ("n", "n_null"))]) for s in signals])
     return grouped.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
 

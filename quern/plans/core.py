@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import commits, paths, tokens
@@ -222,33 +222,17 @@ def margin_weights(s: SparkSession, d: str) -> DataFrame:
     return models.train_margin(rows.select("_ord", ids.alias("ids"), F.transform("a", lambda _: F.lit(1)).alias("loss_mask")), 512, 50)
 
 
-def manifest_errors(s: SparkSession, d: str) -> DataFrame:
-    rules = [(lineage.filled("repo_url"), "repo_url must be a non-empty string"), (F.col("source_revision").rlike("^[0-9a-f]{7,40}$"), "source_revision must be a hexadecimal revision"), (F.size("allowed_splits") > 0, "allowed_splits must be a non-empty list"), (F.col("ecosystem").isNull() | (F.length("ecosystem") > 0), "ecosystem must be a non-empty string when present")]
-    rows = table(s, d, "source_manifest").select("_ord", F.explode_outer(lineage.rule_errors(rules)).alias("error"))
-    return rows.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
-
-
-def event_props(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("k").alias("k"))
-
-
-def revenue_rank(s: SparkSession, d: str) -> DataFrame:
-    o, c, n = (table(s, d, x) for x in ("orders", "customer", "nation"))
-    per = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
-    named = per.join(n, per.c_nationkey == n.n_nationkey).select(F.col("n_name").alias("nation"), "orders", "revenue")
-    return named.withColumn("place", F.row_number().over(Window.orderBy(F.desc("orders"), "nation")).cast("bigint"))  # one row per nation
-
-
 def queries() -> dict[str, Query]:
     own = [
         commit_parse, commit_score, score_report, verifier, top_errors, path_tokens, path_flags, glob_partition, repo_keys, change_ids, window_overlaps, split_assign, split_summary, repo_share, gate_table, label_reference, missing_sequences,
-        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, token_coverage, sequence_accounting, sequence_crop, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights, manifest_errors, event_props, revenue_rank,
+        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, token_coverage, sequence_accounting, sequence_crop, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights,
     ]
-    return {f.__name__: f for f in own}
+    from quern.plans import stages
+
+    return {f.__name__: f for f in own} | stages.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from quern.plans.oracle import SQL
+    from quern.plans import oracle, oracle_stages
 
-    return SQL
+    return oracle.SQL | oracle_stages.SQL

@@ -141,9 +141,4 @@ SQL: dict[str, str] = {
       w as (select id, case when ty in ({quoted(TYPES)}) then ty else 'chore' end as ty from a qualify row_number() over (partition by id order by score desc, pos, ty) = 1),
       t as (select w.id, w.ty, d.ptype, coalesce(list_filter(d.tk, lambda t: t not in ({quoted(GENERIC_TOKENS)}))[1], 'project') as topic from w join d using (id))
       select id, ty as predicted, {CHURN} as subject, ty = ptype as type_match from t""",
-    "manifest_errors": """select error, count(*) as rows from (select unnest([case when coalesce(length(repo_url), 0) = 0 then 'repo_url must be a non-empty string' end, case when not coalesce(regexp_matches(source_revision, '^[0-9a-f]{7,40}$'), false) then 'source_revision must be a hexadecimal revision' end,
-      case when coalesce(len(allowed_splits), 0) = 0 then 'allowed_splits must be a non-empty list' end, case when ecosystem = '' then 'ecosystem must be a non-empty string when present' end]) as error from source_manifest) where error is not null group by error""",
-    "event_props": "select event_type, count(*) as events, cast(sum(try_cast(json_extract_string(props, '$.k') as bigint)) as bigint) as k from events group by 1",
-    "revenue_rank": """with p as (select n_name as nation, count(*) as orders, round(sum(o_totalprice), 2) as revenue from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1)
-      select *, row_number() over (order by orders desc, nation) as place from p""",
 }

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,11 +68,24 @@ def write_report(report: dict, path: str) -> Path:
 
 
 def checksums(spark: SparkSession, patterns: list[str], root: str = "") -> DataFrame:
-    """(path, sha256, bytes) of all files that match, paths relative to root; hashed where they are read."""
-    files = spark.read.format("binaryFile").load(patterns)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    path = F.when(F.startswith(path, F.lit(root)), F.substr(path, F.lit(len(root) + 1))).otherwise(path)
-    return files.select(F.regexp_replace(path, "^/", "").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    """(path, sha256, bytes) of all files that match, paths relative to root.
+
+    Only names and lengths are listed by Spark; each task streams its files, so their size doesn't
+    matter. Files are read through the local file system or a mount.
+    """
+    files = spark.read.format("binaryFile").load(patterns).select(F.regexp_replace("path", "^file:/*", "/").alias("full"), F.col("length").alias("bytes"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = []
+            for name in pdf["full"]:
+                with open(name, "rb") as f:
+                    sums.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pdf.assign(sha256=sums)
+
+    hashed = files.mapInPandas(digest, "full string, bytes bigint, sha256 string")
+    path = F.when(F.startswith("full", F.lit(root)), F.substr("full", F.lit(len(root) + 1))).otherwise(F.col("full"))
+    return hashed.select(F.regexp_replace(path, "^/", "").alias("path"), "sha256", "bytes")
 
 
 def verify_checksums(manifest: DataFrame, actual: DataFrame) -> DataFrame:
@@ -87,9 +103,52 @@ def fenced_template(text: str, marker: str) -> str:
     return found.group(1)
 
 
+def _bare_json(value: F.Column) -> F.Column:
+    """The value as JSON: it is written inside a list, whose brackets go."""
+    return F.regexp_replace(F.to_json(F.array(value)), r"^\[|\]$", "")
+
+
+def json_list(values: F.Column) -> F.Column:
+    """A list of strings as JSON with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(values, _bare_json), ", "), F.lit("]"))
+
+
 def render_template(template: str, values: dict[str, F.Column]) -> F.Column:
-    """The template with every {name} replaced by a column, in turn; arrays are written as JSON."""
+    """The template with every {name} replaced by a column, in turn; null is empty, arrays are written as JSON (see json_list for its blanks)."""
     out = F.lit(template)
     for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+        text = F.when(F.startswith(F.typeof(value), F.lit("array")), _bare_json(value)).otherwise(value.cast("string"))
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(text, F.lit("")))
     return out
+
+
+def write_checksums(spark: SparkSession, patterns: list[str], path: str, root: str = "") -> int:
+    """A text file of lines "<sha256>  <path>", by path, for all files that match; the number of lines. A pattern without a file is an error."""
+    rows = checksums(spark, patterns, root).select(F.concat_ws("  ", "sha256", "path").alias("value"), "path")
+    lines = [r["value"] for r in rows.orderBy("path").select("value").toLocalIterator()]
+    out = Path(path)
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text("".join(line + "\n" for line in lines), encoding="utf-8")
+    return len(lines)
+
+
+def file_entries(names: DataFrame, actual: DataFrame) -> DataFrame:
+    """(path, exists, sha256, bytes) of the named paths; null where there is no file. actual: checksums()."""
+    a = actual.select(F.col("path").alias("_p"), "sha256", "bytes")
+    return names.select("path").distinct().join(a, F.col("path") == F.col("_p"), "left").select("path", F.col("_p").isNotNull().alias("exists"), "sha256", "bytes")
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Fixture cases (id, split, message, context, expected) of a JSON lines file; what a context lacks is empty, null or false."""
+    context = "changed_paths array<string>, expected_type string, expected_scope string, expect_body boolean, expect_footer boolean, expect_mixed_change_warning boolean, expect_breaking_change boolean, forbidden_claims array<string>"
+    schema = f"id string, split string, message string, context struct<{context.replace(' ', ': ').replace(',: ', ', ')}>, expected map<string, boolean>"
+    rows = read_jsonl(spark, path, schema)
+    none = F.array().cast("array<string>")
+    c = lambda f: F.col(f"context.{f}")
+    given = [F.coalesce(c(f), none).alias(f) if f in ("changed_paths", "forbidden_claims") else F.coalesce(c(f), F.lit(False)).alias(f) if f.startswith("expect_") else c(f).alias(f) for f in (x.split()[0] for x in context.split(", "))]
+    return rows.select("id", "split", "message", F.struct(*given).alias("context"), "expected", "_ord")
+
+
+def stable_sha256(document: dict) -> str:
+    """SHA-256 of a document as JSON with sorted keys and no blanks."""
+    return hashlib.sha256(json.dumps(document, sort_keys=True, separators=(",", ":")).encode("utf-8")).hexdigest()
