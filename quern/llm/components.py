@@ -72,9 +72,11 @@ def windows(plan: DataFrame) -> DataFrame:
 
 
 def entity_windows(plan: DataFrame, alias: DataFrame) -> DataFrame:
-    """windows() with entity: the component of the repository over all aliases, else the repository."""
+    """windows() with entity: the first by name of the repositories that are one with it over all aliases, else the repository."""
     links = alias.select(repo_key("alias_url").alias("a"), repo_key("repo_url").alias("b"))
     parts = components(links)
+    names = parts.groupBy(F.col("component").alias("c")).agg(F.min("vertex").alias("name"))
+    parts = parts.join(names, F.col("component") == F.col("c")).select("vertex", F.col("name").alias("component"))
     w = windows(plan)
     return w.join(parts, w.repo == parts.vertex, "left").drop("vertex").withColumn("entity", F.coalesce("component", "repo")).drop("component")
 
@@ -106,12 +108,13 @@ def assign(entities: DataFrame, shares: DataFrame) -> DataFrame:
     sized = per.join(total, F.col("plan_id").eqNullSafe(F.col("tp"))).select(
         "plan_id", "entity", F.when(F.col("total") > 0, F.col("t")).otherwise(F.col("n")).cast("double").alias("weight"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("count")).cast("double").alias("total")
     )
-    hashed = sized.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))).withColumn("h", F.xxhash64("entity", "seed")).withColumn("range", F.shiftright("h", 64 - RANGES.bit_length() + 1))
+    digest = F.conv(F.substring(F.sha2(F.concat_ws(":", "entity", F.col("seed").cast("string")), 256), 1, 15), 16, 10).cast("bigint")  # 60 bits
+    hashed = sized.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))).withColumn("h", digest).withColumn("range", F.shiftright("h", 60 - RANGES.bit_length() + 1))
     sums = hashed.groupBy("plan_id", "seed", "range").agg(F.sum("weight").alias("s"))
     before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("plan_id", "seed").orderBy("range")) - F.col("s")).drop("s")
     run = hashed.alias("l").join(before.alias("b"), F.col("l.plan_id").eqNullSafe(F.col("b.plan_id")) & (F.col("l.seed") == F.col("b.seed")) & (F.col("l.range") == F.col("b.range"))).select("l.*", "b.before")
     middle = F.col("before") + F.sum("weight").over(Window.partitionBy("plan_id", "seed", "range").orderBy("h", "entity").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight") / 2
-    run = materialize(run.select("plan_id", "seed", "entity", "weight", (F.col("weight") / F.col("total")).alias("part"), (middle / F.col("total")).alias("middle")), "entities")
+    run = materialize(run.select("plan_id", "seed", "entity", "weight", "total", (middle / F.col("total")).alias("middle")), "entities")
     goal = shares.where("share > 0").groupBy(split_name("split").alias("split")).agg(F.max("share").alias("share")).where("split is not null")
     want = [(r["split"], float(r["share"])) for r in goal.orderBy("split").collect()]  # three splits exist
     whole = sum(x for _, x in want)
@@ -124,9 +127,10 @@ def assign(entities: DataFrame, shares: DataFrame) -> DataFrame:
         at = F.pmod(F.col("middle") - turn / TURNS, F.lit(1.0))
         return sum([(at >= e).cast("int") for e in ends[:-1]], F.lit(0))
 
-    tried = run.select("plan_id", "seed", "part", "middle", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
-    got = tried.groupBy("plan_id", "seed", "turn").agg(*[F.sum(F.when(placed(F.col("turn")) == k, F.col("part")).otherwise(0.0)).alias(f"s{k}") for k in range(len(want))])
-    error = F.greatest(F.lit(0.0), *[F.abs(F.col(f"s{k}") - x / whole) for k, (_, x) in enumerate(want)])
+    tried = run.select("plan_id", "seed", "weight", "total", "middle", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
+    # weights are whole numbers, so their sums are the same in any order
+    got = tried.groupBy("plan_id", "seed", "turn").agg(F.max("total").alias("total"), *[F.sum(F.when(placed(F.col("turn")) == k, F.col("weight")).otherwise(0.0)).alias(f"s{k}") for k in range(len(want))])
+    error = F.greatest(F.lit(0.0), *[F.abs(F.col(f"s{k}") / F.col("total") - x / whole) for k, (_, x) in enumerate(want)])
     best = got.groupBy(F.col("plan_id").alias("bp")).agg(F.min(F.struct(F.round(error, 9).alias("e"), "seed", "turn")).alias("b")).select("bp", F.col("b.seed").alias("bs"), F.col("b.turn").alias("turn"))
     turned = run.join(best, F.col("plan_id").eqNullSafe(F.col("bp")) & (F.col("seed") == F.col("bs")))
     return turned.select("plan_id", "entity", "weight", F.element_at(F.array(*[F.lit(s) for s, _ in want]), placed(F.col("turn")) + 1).alias("split"))

@@ -46,6 +46,19 @@ rc as (select p, count(distinct own) as repos from pr group by p),
 cp as (select own, dir, true as copy from pr join rc using (p) group by own, dir having count(*) filter (repos >= 20) >= 0.8 * count(*)),
 kd as (select id, raw, case when copy then 'copy' else coalesce({KIND}, case when coalesce(regexp_matches(path, rx), false) then 'glob' end) end as kind from ow left join cp using (own, dir) left join gl using (repo))"""
 
+# Entities of plans on a circle by hash, tried with 8 hashes and 100 starts.
+SPLITS4 = f"""recursive e as (select {repo('alias_url')} as a, {repo('repo_url')} as b from repo_alias), ed as (select a, b from e union select b, a from e), reach as (select a as v, a as w from ed union select reach.v, ed.b from reach join ed on reach.w = ed.a), comp as (select v, min(w) as c from reach group by v),
+w as (select id, plan_id, coalesce({repo('repo_url')}, 'window:' || id) as r, {split('split')} as s, greatest(coalesce(target_records, 0), 0) as target from {valid('split_plan', 'id')}), x as (select w.*, coalesce(c, r) as ent from w left join comp on v = r),
+per as (select plan_id, ent, sum(target) as t, count(*) as n from x group by 1, 2), tot as (select plan_id, sum(t) as total, sum(n) as cnt from per group by 1),
+z as (select per.plan_id, ent, case when total > 0 then t else n end::double as weight, case when total > 0 then total else cnt end::double as total from per join tot on per.plan_id is not distinct from tot.plan_id),
+h as (select z.*, seed, ('0x' || substr(sha256(ent || ':' || seed), 1, 15))::ubigint as hash from z, (select unnest(range(8)) as seed)),
+m as (select *, (sum(weight) over (partition by plan_id, seed order by hash, ent rows unbounded preceding) - weight / 2) / total as middle from h),
+g as (select {split('split')} as s, max(share) as share from split_target where share > 0 group by 1), gs as (select s, share, row_number() over (order by s) - 1 as k, sum(share) over (order by s) / sum(share) over () as upto, share / sum(share) over () as part from g where s is not null),
+tr as (select m.*, turn, (middle - turn / 100.0::double) % 1.0::double as o from m, (select unnest(range(100)) as turn)), pl as (select *, (select count(*) from gs where k < (select max(k) from gs) and (case when o < 0 then (o + 1.0::double) % 1.0::double else o end) >= upto) as place from tr),
+er as (select pl.plan_id, seed, turn, gs.k, abs(sum(case when place = gs.k then weight else 0.0 end) / max(total) - max(part)) as e from pl, gs group by 1, 2, 3, 4), bt as (select plan_id, seed, turn, round(max(e), 9) as e from er group by 1, 2, 3),
+be as (select * from bt qualify row_number() over (partition by plan_id order by e, seed, turn) = 1),
+asg as (select pl.plan_id, ent, gs.s as split from pl join be on pl.plan_id is not distinct from be.plan_id and pl.seed = be.seed and pl.turn = be.turn join gs on gs.k = place)"""
+
 OVERLAP = f"""v as (select id, {repo('source_repo_url')} as repo, {split('data_split')} as s, lower({strip('source_commit')}) as c, list_sort(list_distinct(list_transform(list_filter(changed_paths, lambda x: length(x) > 0), lambda x: {PATH.format('x')}))) as ps from {LABEL}),
 w as (select * from v where s is not null), d as (select * from w where s = 'DEV'), h as (select * from w where s <> 'DEV'),
 a as (select d.id as x, h.id as y from d join h on substr(d.c, 1, 7) = substr(h.c, 1, 7) and length(d.c) >= 7 and length(h.c) >= 7 and (starts_with(d.c, h.c) or starts_with(h.c, d.c)) where regexp_matches(d.c, '^[0-9a-f]+$') and regexp_matches(h.c, '^[0-9a-f]+$')),
@@ -72,6 +85,8 @@ SQL: dict[str, str] = {
       reach as (select a as v, a as w from ed union select reach.v, ed.b from reach join ed on reach.w = ed.a), comp as (select v, min(w) as c from reach group by v),
       w as (select id, plan_id, coalesce({repo('repo_url')}, 'window:' || id) as r, {split('split')} as s from {valid('split_plan', 'id')}), x as (select w.*, coalesce(c, r) as ent from w left join comp on v = r)
       select id as window_id from x where (coalesce(plan_id, chr(0)), ent) in (select (coalesce(plan_id, chr(0)), ent) from x group by coalesce(plan_id, chr(0)), ent having count(distinct s) > 1)""",
+    "p4_splits": f"with {SPLITS4} select x.plan_id, x.id as window_id, x.r as repo, x.ent as entity, x.s as split_now, asg.split, x.target from x join asg on x.plan_id is not distinct from asg.plan_id and x.ent = asg.ent",
+    "p4_report": f"with {SPLITS4}, q as (select x.plan_id, asg.split, cast(sum(x.target) as bigint) as target from x join asg on x.plan_id is not distinct from asg.plan_id and x.ent = asg.ent group by 1, 2) select *, target / nullif(sum(target) over (partition by plan_id), 0) as part from q",
     "p5_loss_tokens": f"""with v as (select * from {valid('sequence_metadata', 'record_id')}), g as (select *, coalesce(loss_tokens > 0, false) and not coalesce(input_length > 0 and loss_tokens > input_length, false) as good from v),
       l as (select regexp_replace(id, '^generated-', '') as source_diff_id, {repo('source_repo_url')} as repo from {LABEL} where starts_with(id, 'generated-')),
       s as (select repo, count(*) as records, count(*) filter (not good) as invalid, cast(sum(case when good then loss_tokens else 0 end) as bigint) as tokens from g left join l using (source_diff_id) group by repo),
