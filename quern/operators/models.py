@@ -41,18 +41,30 @@ def predict_path_types(rows: DataFrame, model: DataFrame, key: str, paths: str =
     first, then to the name. Types outside the known ones become chore.
     """
     d = rows.select(key, F.col(paths).alias("_p")).withColumn("_t", tokens(F.col("_p")))
-    counts = model.where("token is not null")
-    # a token's occurrences are counted per row before the join
+    # a token has one row with its counts of all types, and a row's equal tokens are one row before the join
+    types = [r["type"] for r in model.where("token is null").select("type").orderBy("type").collect()]  # a row per type
+    if not types:
+        return d.limit(0).select(key, F.lit("").alias("predicted"), F.lit("").alias("subject"))
+    counts = model.where("token is not null").groupBy("token").agg(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(types)])
+    priors = model.where("token is null").agg(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, t in enumerate(types)]).first()
     each = d.select(key, F.posexplode("_t").alias("pos", "token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("m"), F.min("pos").alias("pos"))
-    sums = each.join(counts, "token").groupBy(key, "type").agg(F.sum(F.col("m") * F.col("n")).alias("score"), F.min("pos").alias("pos"))
-    priors = model.where("token is null").select("type", F.col("n").alias("score"), F.lit(0).alias("pos"))
-    none = d.select(key).join(sums.select(key).distinct(), key, "left_anti").crossJoin(F.broadcast(priors))  # a row per type
+    sums = each.join(counts, "token").groupBy(key).agg(*[F.sum(F.col("m") * F.col(f"n{i}")).alias(f"s{i}") for i in range(len(types))], *[F.min(F.when(F.col(f"n{i}") > 0, F.col("pos"))).alias(f"p{i}") for i in range(len(types))])
+    j = d.join(sums, key, "left")
+    known = F.col("s0").isNotNull()
     none_p = F.coalesce("_p", F.array().cast("array<string>"))
-    extra = d.select(key, F.explode(F.array_compact(F.array(F.when(F.exists(none_p, is_docs), F.struct(F.lit("docs").alias("type"), F.lit(3).cast("bigint").alias("score"))), F.when(F.exists(none_p, is_tests), F.struct(F.lit("test").alias("type"), F.lit(2).cast("bigint").alias("score")))))).alias("e")).select(key, "e.type", "e.score", F.lit(1 << 30).alias("pos"))
-    scored = sums.unionByName(none.select(key, "type", "score", "pos")).unionByName(extra).groupBy(key, "type").agg(F.sum("score").alias("score"), F.min("pos").alias("pos"))
-    best = scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("a"), F.col("pos").alias("b"), F.col("type").alias("type"))).alias("w"))
-    known = F.when(F.col("w.type").isin(TYPES), F.col("w.type")).otherwise("chore")
-    return d.join(best, key).select(key, known.alias("predicted"), subject(known, topic(F.col("_t"))).alias("subject"))
+    bonus = {"docs": F.when(F.exists(none_p, is_docs), 3).otherwise(0), "test": F.when(F.exists(none_p, is_tests), 2).otherwise(0)}
+    late = 1 << 30
+    options = []
+    for i, t in enumerate(types):
+        own = F.when(known, F.col(f"s{i}")).otherwise(F.lit(priors[f"n{i}"]))
+        at = F.when(known, F.coalesce(F.col(f"p{i}"), F.lit(late))).otherwise(F.lit(0))
+        score = own + bonus.get(t, F.lit(0))
+        options.append(F.when(score > 0, F.struct((-score).cast("bigint").alias("a"), at.alias("b"), F.lit(t).alias("type"))))
+    options += [F.when(b > 0, F.struct((-b).cast("bigint").alias("a"), F.lit(late).alias("b"), F.lit(t).alias("type"))) for t, b in bonus.items() if t not in types]
+    best = F.array_min(F.array_compact(F.array(*options)))["type"]
+    out = j.withColumn("_w", best).where("_w is not null")
+    named = F.when(F.col("_w").isin(TYPES), F.col("_w")).otherwise("chore")
+    return out.select(key, named.alias("predicted"), subject(named, topic(F.col("_t"))).alias("subject"))
 
 
 def features(rows: DataFrame, key: str, paths: str = "changed_paths") -> DataFrame:
@@ -74,18 +86,16 @@ def features(rows: DataFrame, key: str, paths: str = "changed_paths") -> DataFra
     return d.select(key, "total", F.explode("f").alias("feature")).groupBy(key, "feature").agg((F.count(F.lit(1)) / F.first("total")).alias("value"))
 
 
-def train_softmax(rows: DataFrame, key: str, kind: str, paths: str = "changed_paths", epochs: int = 25, rate: float = 0.35, l2: float = 1e-4, limit: int = 1_000_000) -> DataFrame:
+def train_softmax(rows: DataFrame, key: str, kind: str, paths: str = "changed_paths", epochs: int = 25, rate: float = 0.35, l2: float = 1e-4, limit: int = 200_000) -> DataFrame:
     """(feature, weights array<double> in the order of TYPES): sequential gradient steps over rows sorted by key.
 
     Each step depends on the one before, so the fold runs in one task, on hashes of features instead
-    of their names; `limit` bounds its rows and a larger training set is refused, not sampled. The
-    feature "" holds the biases, "loss" the mean loss of every epoch.
+    of their names. `limit` bounds its rows: of more, those with the smallest hashes of their keys
+    are taken, a fixed sample. The feature "" holds the biases, "loss" the mean loss of every epoch.
     """
+    rows = rows.orderBy(F.xxhash64(key), key).limit(limit)
     f = features(rows, key, paths).withColumn("h", F.xxhash64("feature"))
     packed = f.groupBy(key).agg(F.collect_list("h").alias("h"), F.collect_list("value").alias("v")).join(rows.select(key, F.col(kind).alias("_kind")), key)
-    n = rows.count()
-    if n > limit:
-        raise ValueError(f"{n} rows are more than one task folds ({limit})")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -113,15 +123,19 @@ def train_softmax(rows: DataFrame, key: str, kind: str, paths: str = "changed_pa
 
 
 def predict_softmax(rows: DataFrame, model: DataFrame, key: str, paths: str = "changed_paths") -> DataFrame:
-    """(key, predicted, probability): the class with the highest logit, the lowest number on ties."""
+    """(key, predicted, probability): the class with the highest logit, the lowest number on ties.
+
+    A row per feature holds all classes: their weighted sums are added up as arrays.
+    """
     f = features(rows, key, paths)
     bias = model.where("feature = ''").select(F.col("weights").alias("bias"))
-    dot = f.join(model.where("feature <> 'loss'"), "feature").select(key, F.posexplode(F.transform("weights", lambda x: x * F.col("value"))).alias("c", "x")).groupBy(key, "c").agg(F.sum("x").alias("x"))
-    logits = dot.crossJoin(F.broadcast(bias)).select(key, "c", (F.col("x") + F.get("bias", F.col("c"))).alias("logit"))
-    best = logits.groupBy(key).agg(F.max(F.struct("logit", (-F.col("c")).alias("c"))).alias("b"), F.collect_list("logit").alias("all"))
-    top = F.col("b.logit")
+    scaled = f.join(model.where("feature <> 'loss'"), "feature").select(key, *[(F.get("weights", F.lit(c)) * F.col("value")).alias(f"x{c}") for c in range(len(TYPES))])
+    dot = scaled.groupBy(key).agg(F.array(*[F.sum(f"x{c}") for c in range(len(TYPES))]).alias("x"))
+    logits = dot.crossJoin(F.broadcast(bias)).select(key, F.zip_with("x", "bias", lambda x, b: x + b).alias("all"))  # one row of biases
+    top = F.array_max("all")
+    at = F.array_position("all", top).cast("int")
     total = F.aggregate("all", F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return best.select(key, F.element_at(F.array(*map(F.lit, TYPES)), (1 - F.col("b.c")).cast("int")).alias("predicted"), (1 / total).alias("probability"))
+    return logits.select(key, F.element_at(F.array(*map(F.lit, TYPES)), at).alias("predicted"), (1 / total).alias("probability"))
 
 
 def train_margin(sequences: DataFrame, buckets: int, rate: int = 1, scale: int = 1000, start: DataFrame | None = None) -> DataFrame:

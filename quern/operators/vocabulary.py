@@ -56,16 +56,41 @@ def encode(records: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "t
 
 
 def plan(records: DataFrame, context: int, most: int, tokens: str = "tokens") -> DataFrame:
-    """records with raw_token_count, raw_sequences_at_context, decision and trainer_tokens."""
+    """records with raw_token_count, raw_sequences_at_context, decision, reason, trainer_context_tokens and trainer_tokens."""
     n = F.size(tokens).cast("bigint")
     d = records.withColumn("raw_token_count", n).withColumn("raw_sequences_at_context", F.ceil(n / context)).withColumn("decision", decision(n, context, most))
     kept = F.when(F.col("decision") == "exclude_oversize", 0).when(F.col("decision") == "use_truncated", context).otherwise(n)
-    return d.withColumn("trainer_tokens", kept.cast("bigint"))
+    # fixed values: the reasons of the decisions
+    reason = F.when(F.col("decision") == "exclude_oversize", "raw_token_count exceeds max_raw_record_tokens").when(F.col("decision") == "use_truncated", "raw_token_count exceeds context_tokens").otherwise("raw_token_count fits context_tokens")
+    return d.withColumns({"reason": reason, "trainer_context_tokens": F.lit(context).cast("bigint"), "trainer_tokens": kept.cast("bigint")})
 
 
-def accounting(plans: DataFrame, split: str = "data_split") -> DataFrame:
-    """Per split and over all (null): records, raw and kept tokens, the longest record, full, truncated and excluded."""
-    return plans.rollup(split).agg(
-        F.count(F.lit(1)).alias("records"), F.sum("raw_token_count").alias("raw_tokens"), F.sum("trainer_tokens").alias("kept_tokens"), F.max("raw_token_count").alias("longest"),
-        *[F.count_if(F.col("decision") == d).alias(d) for d in ("use_full", "use_truncated", "exclude_oversize")],
+def with_unknown(records: DataFrame, vocabulary: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
+    """records with unknown_token_count: their tokens outside the vocabulary. A record's equal tokens are counted before the join."""
+    per = exploded(records, tokens, key).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
+    lost = per.join(vocabulary.select("token"), "token", "left_anti").groupBy(key).agg(F.sum("n").alias("unknown_token_count"))
+    return records.join(lost, key, "left").withColumn("unknown_token_count", F.coalesce("unknown_token_count", F.lit(0).cast("bigint")))
+
+
+def accounting(plans: DataFrame, split: str = "data_split", splits: tuple[str, ...] = ("DEV", "REPORT", "HELD_OUT")) -> DataFrame:
+    """Per split and over all (null): records, raw and kept tokens, the longest record, full, truncated and excluded ones, tokens cut off.
+
+    Splits without a record have a row of zeros. The totals are sums of the splits' rows.
+    """
+    kinds = ("use_full", "use_truncated", "exclude_oversize")
+    own = lambda d, c: F.coalesce(F.sum(F.when(F.col("decision") == d, c)), F.lit(0))
+    per = plans.groupBy(split).agg(
+        F.count(F.lit(1)).alias("records"), F.sum("raw_token_count").alias("raw_tokens"), F.sum("trainer_tokens").alias("kept_tokens"), F.max("raw_token_count").alias("longest"), *[F.count_if(F.col("decision") == d).alias(d) for d in kinds],
+        own("use_truncated", F.col("raw_token_count") - F.col("trainer_tokens")).alias("truncated_tokens"), own("exclude_oversize", F.col("raw_token_count")).alias("excluded_tokens"),
     )
+    numbers = [c for c in per.columns if c != split]
+    seeds = plans.sparkSession.createDataFrame([(s,) for s in splits], f"{split} string").join(per.select(split), split, "left_anti").select(split, *[F.lit(0).cast("bigint").alias(c) for c in numbers])
+    every = per.agg(*[(F.max if c == "longest" else F.sum)(c).alias(c) for c in numbers]).select(F.lit(None).cast("string").alias(split), *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in numbers])
+    return per.unionByName(seeds).unionByName(every)
+
+
+def blockers(accounts: DataFrame, least_train: int, train: str = "DEV", evaluation: str = "REPORT", split: str = "data_split") -> DataFrame:
+    """(split, kept, excluded, blocker) of accounting() rows that stop a run: records excluded from evaluation, too few kept for training."""
+    kept = F.col("records") - F.col("exclude_oversize")
+    why = F.when((F.col(split) == evaluation) & (F.col("exclude_oversize") > 0), F.lit(f"{evaluation} contains excluded oversize records")).when((F.col(split) == train) & (kept < least_train), F.lit(f"kept {train} records fall below minimum"))
+    return accounts.withColumn("blocker", why).where("blocker is not null").select(split, kept.alias("kept"), F.col("exclude_oversize").alias("excluded"), "blocker")

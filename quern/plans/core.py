@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import commits, paths, tokens
-from quern.functions.columns import repo_key, split_name, valid_rows
+from quern.functions.columns import folded, repo_key, split_name, valid_rows
 from quern.functions.globs import globs_regex, split_by_globs
-from quern.operators import dedup, intervals, lineage, models, reports, vocabulary
+from quern.operators import dedup, intervals, lineage, models, records, reports, training, vocabulary
 from quern.session import materialize
 from quern.tables import table
 
@@ -36,7 +36,22 @@ def _scored(s: SparkSession, d: str) -> DataFrame:
 
 
 def commit_score(s: SparkSession, d: str) -> DataFrame:
-    return _scored(s, d).select("id", *[f"score.{c}" for c in ("format_validity", "scope_quality", "specificity", "brevity")], F.size("score.errors").cast("bigint").alias("n_errors"))
+    """All ten signals. What is expected comes from the label's other columns: its type and scope, its warnings, its score and its first path's words."""
+    rows = messages(s, d, "changed_paths", "type", "scope", "verifier_score", "confidence")
+    rows = rows.withColumns({
+        "want_type": folded("type"), "want_scope": F.when(F.col("confidence") > 0.9, F.col("scope")), "want_body": F.col("confidence") > 0.7, "want_footer": F.col("confidence") < 0.5, "want_mixed": F.col("verifier_score") < 0.7, "want_breaking": F.col("type").endswith("!"),
+        "claims": F.slice(paths.tokens(F.col("changed_paths")), 1, 1),
+    })
+    scored = commits.with_score(rows, "message", paths="changed_paths", expected_type="want_type", expected_scope="want_scope", expect_body="want_body", expect_footer="want_footer", expect_mixed="want_mixed", expect_breaking="want_breaking", forbidden="claims")
+    return scored.select("id", *[f"score.{c}" for c in commits.SIGNALS], F.size("score.errors").cast("bigint").alias("n_errors"))
+
+
+def mixed_messages(s: SparkSession, d: str) -> DataFrame:
+    """Messages that mention a mixed change, by each phrase, put before the labels' own headers."""
+    phrases = F.array(*map(F.lit, ("", "Mixed: ", "split of ", "a separate commit: ", "separate ")))
+    rows = label(s, d, "header").select("id", F.posexplode(phrases).alias("phrase", "p"), "header").withColumns({"message": F.concat(F.lit("fix: "), "p", F.coalesce("header", F.lit(""))), "want": F.lit(True)})
+    scored = commits.with_score(rows, "message", expect_mixed="want")
+    return scored.groupBy(F.col("phrase").cast("bigint").alias("phrase"), F.col("score.mixed_change_warning").alias("mixed")).agg(F.count(F.lit(1)).alias("labels"))
 
 
 def score_report(s: SparkSession, d: str) -> DataFrame:
@@ -162,28 +177,62 @@ def _streams(s: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.coalesce(split_name("data_split"), F.lit("NONE")).alias("data_split"), user.alias("user"), reply.alias("reply"), tokens.record_stream(chat).alias("tokens"))
 
 
+#: The production sizes: a vocabulary of 32,000 (the default of build), contexts of 8,192 tokens, records of 65,536 at most.
+CONTEXT, MOST = 8192, 65_536
+#: The smallest context of a run, where documents are long enough to be cropped.
+CROP_CONTEXT = 2048
+
+
+def _vocabulary(rows: DataFrame) -> DataFrame:
+    return vocabulary.build(vocabulary.token_counts(rows.where("data_split = 'DEV'")))
+
+
 def vocabulary_top(s: SparkSession, d: str) -> DataFrame:
-    counts = vocabulary.token_counts(_streams(s, d).where("data_split = 'DEV'"))
-    return vocabulary.build(counts, 500).select("id", "token", "count")
+    return _vocabulary(_streams(s, d)).select("id", "token", "count")
+
+
+def vocabulary_errors(s: SparkSession, d: str) -> DataFrame:
+    """Contract of a vocabulary whose ids are shifted from the hundredth on and whose tokens are in lower case."""
+    v = _vocabulary(_streams(s, d)).select((F.col("id") + F.when(F.col("id") >= 100, 1).otherwise(0)).alias("id"), F.lower("token").alias("token"))
+    return records.vocabulary_errors(v, tokens.SPECIAL)
 
 
 def token_coverage(s: SparkSession, d: str) -> DataFrame:
     rows = materialize(_streams(s, d).select("data_split", "tokens"), "streams")
-    vocab = vocabulary.build(vocabulary.token_counts(rows.where("data_split = 'DEV'")), 500)
-    return vocabulary.coverage(rows, vocab)
+    return vocabulary.coverage(rows, _vocabulary(rows))
+
+
+def sequence_plan(s: SparkSession, d: str) -> DataFrame:
+    rows = materialize(_streams(s, d).select("id", "data_split", "tokens"), "streams")
+    planned = vocabulary.plan(vocabulary.with_unknown(rows, _vocabulary(rows), "id"), CONTEXT, MOST)
+    return planned.select("id", "data_split", "raw_token_count", "unknown_token_count", "raw_sequences_at_context", "decision", "reason", "trainer_context_tokens", "trainer_tokens")
 
 
 def sequence_accounting(s: SparkSession, d: str) -> DataFrame:
-    out = vocabulary.accounting(vocabulary.plan(_streams(s, d), 128, 400))
+    """Documents as records: those of a repository train, the others evaluate."""
+    rows = _documents(s, d).select(F.when(F.col("repo_url").isNotNull(), "DEV").otherwise("REPORT").alias("data_split"), "tokens")
+    out = vocabulary.accounting(vocabulary.plan(rows, CROP_CONTEXT, CONTEXT))
     return out.withColumn("data_split", F.coalesce("data_split", F.lit("ALL")))
 
 
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", "repo_url", tokens.tokenize(F.col("text")).alias("tokens"))
+
+
 def sequence_crop(s: SparkSession, d: str) -> DataFrame:
-    """What a context of 128 tokens leaves of the paths, and the hashes of loss masks."""
-    rows = _streams(s, d).withColumn("u", tokens.tokenize(F.col("user"))).withColumn("a", tokens.tokenize(F.col("reply")))
-    budget = F.lit(128) - F.size("a") - 8
-    r = rows.withColumn("c", tokens.crop(F.col("u"), budget)).withColumn("r", tokens.render(F.array().cast("array<string>"), F.col("c"), F.col("a")))
-    return r.select("id", F.size("c").cast("bigint").alias("kept"), F.size("r.tokens").cast("bigint").alias("length"), F.aggregate("r.loss_mask", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("loss"), F.sha2(F.array_join("c", " "), 256).alias("crop_sha256"))
+    """What a context of 2,048 tokens leaves of a document behind a system message and before its source's name, and the loss."""
+    words = lambda c: tokens.tokenize(c)
+    rows = table(s, d, "documents").select("doc_id", words(F.lit("Name the source.")).alias("s"), words(F.col("text")).alias("u"), words(F.coalesce("source", F.lit("none"))).alias("a"))
+    r = rows.withColumn("c", tokens.crop(F.col("u"), F.lit(CROP_CONTEXT) - F.size("s") - F.size("a") - 8)).withColumn("r", tokens.render(F.col("s"), F.col("c"), F.col("a")))
+    return r.select("doc_id", F.size("c").cast("bigint").alias("kept"), F.size("r.tokens").cast("bigint").alias("length"), F.aggregate("r.loss_mask", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("loss"), F.sha2(F.array_join("r.tokens", " "), 256).alias("sha256"))
+
+
+def sequence_rows(s: SparkSession, d: str) -> DataFrame:
+    """Labels as encoded sequences: the real materialiser with the vocabulary of DEV."""
+    rows = _streams(s, d)
+    chat = training.chat(F.lit("Commit messages."), F.col("user"), F.col("reply"))
+    made = training.sequences(rows.select("id", chat.alias("messages")), _vocabulary(rows), CONTEXT, MOST)
+    return made.select("id", "decision", F.col("raw_token_count").cast("bigint").alias("raw_token_count"), F.col("input_length").cast("bigint").alias("input_length"), F.col("loss_tokens").cast("bigint").alias("loss_tokens"), "unknown_tokens", "input_ids_sha256", "loss_mask_sha256", "crop.policy")
 
 
 def input_hashes(s: SparkSession, d: str) -> DataFrame:
@@ -211,7 +260,7 @@ def predicted_types(s: SparkSession, d: str) -> DataFrame:
 
 def softmax_types(s: SparkSession, d: str) -> DataFrame:
     rows = _typed(s, d)
-    model = materialize(models.train_softmax(rows.where("split = 'DEV'"), "id", "type", epochs=1), "model")
+    model = materialize(models.train_softmax(rows.where("split = 'DEV'"), "id", "type"), "model")
     return models.predict_softmax(rows.where("split = 'REPORT'"), model, "id").join(rows.select("id", "type"), "id").select("id", "predicted", F.round("probability", 6).alias("probability"), (F.col("predicted") == F.col("type")).alias("type_match"))
 
 
@@ -224,8 +273,8 @@ def margin_weights(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     own = [
-        commit_parse, commit_score, score_report, verifier, top_errors, path_tokens, path_flags, glob_partition, repo_keys, change_ids, window_overlaps, split_assign, split_summary, repo_share, gate_table, label_reference, missing_sequences,
-        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, token_coverage, sequence_accounting, sequence_crop, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights,
+        commit_parse, commit_score, mixed_messages, score_report, verifier, top_errors, path_tokens, path_flags, glob_partition, repo_keys, change_ids, window_overlaps, split_assign, split_summary, repo_share, gate_table, label_reference, missing_sequences,
+        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, vocabulary_errors, token_coverage, sequence_plan, sequence_accounting, sequence_crop, sequence_rows, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights,
     ]
     from quern.plans import stages
 

@@ -63,6 +63,20 @@ e as (select *, case when error is not null then [error] else list_filter([
 TOKENS = "list_filter(flatten(list_transform(flatten(list_transform(list_transform(changed_paths, lambda p: trim(lower(replace(p, '\\', '/')), '/')), lambda p: string_split(p, '/'))), lambda s: regexp_split_to_array(ltrim(regexp_replace(s, '\\.[^.]*$', ''), '_'), '[^a-z0-9]+'))), lambda t: t <> '')"
 
 LABEL = valid("generated_label", "id")
+
+WANTED = {"type_accuracy": "want_type is not null", "factuality": "len(claims) > 0", "body_presence": "confidence > 0.7", "footer_presence": "confidence < 0.5", "mixed_change_warning": "verifier_score < 0.7", "breaking_change_detection": "ends_with(type, '!')"}
+JUDGED = {
+    "type_accuracy": "ptype = want_type", "factuality": "not contains(lower(raw), lower(claims[1]))", "body_presence": "len(list_filter(pbody, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g') <> '')) > 0", "footer_presence": "len(pfoot) > 0",
+    "mixed_change_warning": "contains(lower(raw), 'mixed') or contains(lower(raw), 'split') or contains(lower(raw), 'separate commit')", "breaking_change_detection": "regexp_extract(head, '{h}', 3) = '!' or len(list_filter(pfoot, lambda x: starts_with(x, 'BREAKING CHANGE:'))) > 0".replace("{h}", HEADER),
+}
+#: The ten signals with what the label's other columns lead one to expect.
+SIGNALS = f"""{PARSED}, v as (select *, trim(trim(trim(pscope), '/')) as sc, lower(regexp_replace(psubject, '\\s+', ' ', 'g')) as su, lower({strip('type')}) as want_type, case when confidence > 0.9 then scope end as want_scope, {TOKENS}[1:1] as claims from p),
+g as (select *, case when error is null then ptype in ({quoted(TYPES)}) else false end as format_validity,
+  case when want_scope is not null then error is null and pscope is not distinct from want_scope when error is null and pscope is not null and len(changed_paths) > 0 then (sc <> '' and {VISIBLE}) end as scope_quality,
+  case when error is null then not su in ({quoted(VAGUE)}) and len(string_split(su, ' ')) >= 2 else false end as specificity, case when error is null then length(psubject) between 1 and 72 else false end as brevity,
+  {", ".join(f"case when {w} then error is null and ({JUDGED[k]}) end as {k}" for k, w in WANTED.items())} from v)"""
+# a shell glob as a regex: its own characters escaped, sets kept; * also crosses /
+GLOB = "'^' || replace(replace(replace(regexp_replace(g, '([.+()|^${}\\\\])', '\\\\\\1', 'g'), '[!', '[^'), '*', '.*'), '?', '.') || '$'"
 PLAN = f"(select id, plan_id, {repo('repo_url')} as repo, {split('split')} as split, case when regexp_matches(start_at, '(Z|[+-]\\d\\d:?\\d\\d)$') then try_cast(start_at as timestamptz) end as s, case when regexp_matches(end_at, '(Z|[+-]\\d\\d:?\\d\\d)$') then try_cast(end_at as timestamptz) end as e, target_records from {valid('split_plan', 'id')})"
 
 
@@ -72,11 +86,17 @@ def tokenized(c: str) -> str:
     return f"regexp_extract_all(regexp_replace({c}, '[\\p{{Z}}\\x{{85}}\\x1C-\\x1F]', ' ', 'g'), '{TOKEN}')"
 
 
+def ints_sha(ids: str) -> str:
+    """SHA-256 over 4-byte little-endian integers."""
+    h = "printf('%08x', x & 4294967295)"
+    return f"sha256(unhex(array_to_string(list_transform({ids}, lambda x: {' || '.join(f'substr({h}, {k}, 2)' for k in (7, 5, 3, 1))}), '')))"
+
+
 STREAMS = f"""c as (select id, coalesce({split('data_split')}, 'NONE') as data_split, array_to_string(changed_paths, chr(10)) as usr, array_to_string(list_concat([header], coalesce(body, []), coalesce(footers, [])), chr(10)) as reply from {LABEL}),
 st as (select *, list_transform({tokenized('usr')}, lambda t: case when t = chr(10) then '<nl>' else t end) as u, list_transform({tokenized('reply')}, lambda t: case when t = chr(10) then '<nl>' else t end) as a from c),
 tk as (select *, list_concat(['<bos>', '<user>'], u, ['<sep>', '<assistant>'], a, ['<sep>', '<eos>']) as tokens from st)"""
 VOCAB = f"""cnt as (select token, count(*) as n from (select unnest(tokens) as token from tk where data_split = 'DEV') group by token),
-voc as (select row_number() over (order by n desc, token) - 1 + {len(SPECIAL)} as id, token, n from cnt where token not in ({quoted(SPECIAL)}) and n >= 2 order by n desc, token limit {500 - len(SPECIAL)}),
+voc as (select row_number() over (order by n desc, token) - 1 + {len(SPECIAL)} as id, token, n from cnt where token not in ({quoted(SPECIAL)}) and n >= 2 order by n desc, token limit {32000 - len(SPECIAL)}),
 spec as (select unnest(range({len(SPECIAL)})) as id, unnest([{quoted(SPECIAL)}]) as token),
 vocab as (select cast(id as integer) as id, token, n as "count" from voc union all select cast(spec.id as integer), spec.token, coalesce(cnt.n, 0) from spec left join cnt using (token))"""
 
@@ -87,7 +107,10 @@ CHURN = "case ty " + " ".join("when '{}' then {}".format(k, " || ".join(p for p
 SQL: dict[str, str] = {
     "commit_parse": f"""with {PARSED} select id, ptype as type, pscope as scope, psubject as subject, cast(len(pbody) as bigint) as n_body, cast(len(pfoot) as bigint) as n_footers,
       case when error is null then regexp_extract(head, '{HEADER}', 3) = '!' or len(list_filter(pfoot, lambda x: starts_with(x, 'BREAKING CHANGE:'))) > 0 end as breaking, error from p""",
-    "commit_score": f"with {SCORED} select id, format_validity, scope_quality, specificity, brevity, cast(len(errors) as bigint) as n_errors from e",
+    "commit_score": f"""with {SIGNALS} select id, format_validity, type_accuracy, scope_quality, factuality, specificity, brevity, body_presence, footer_presence, mixed_change_warning, breaking_change_detection,
+      case when error is not null then 1 else cast(len(list_filter([format_validity, type_accuracy, scope_quality, factuality, specificity, brevity, body_presence, footer_presence, mixed_change_warning, breaking_change_detection], lambda x: not x)) as bigint) end as n_errors from g""",
+    "mixed_messages": f"""with p as (select unnest(range(5)) as phrase, unnest(['', 'Mixed: ', 'split of ', 'a separate commit: ', 'separate ']) as p), x as (select phrase, lower('fix: ' || p || coalesce(header, '')) as low from p, {LABEL})
+      select phrase, contains(low, 'mixed') or contains(low, 'split') or contains(low, 'separate commit') as mixed, count(*) as labels from x group by 1, 2""",
     "score_report": f"""with {SCORED}, x as (select coalesce(split, 'NONE') as split, unnest(['format_validity','scope_quality','specificity','brevity']) as signal, unnest([format_validity, scope_quality, specificity, brevity]) as v from e)
       select coalesce(split, 'ALL') as split, signal, count(*) filter (v) as n_true, count(*) filter (not v) as n_false, count(*) filter (v is null) as n_null from x group by grouping sets ((split, signal), (signal))""",
     "verifier": f"""with {SCORED}, ev as (select *, list_transform(evidence_paths, lambda p: regexp_replace(p, '(#L\\d+(?:-L?\\d+)?|:\\d+(?::\\d+)?)$', '')) as bare from e),
@@ -124,11 +147,30 @@ SQL: dict[str, str] = {
     "vocabulary_top": f"with {STREAMS}, {VOCAB} select * from vocab",
     "token_coverage": f"""with {STREAMS}, {VOCAB}, t as (select data_split, unnest(tokens) as token from tk), k as (select t.data_split, count(*) as tokens, count(v.token) as known from t left join vocab v using (token) group by 1),
       r as (select data_split, count(*) as records from tk group by 1) select r.data_split, records, tokens, known, tokens - known as unknown, round(known / tokens, 6) as known_fraction from r join k using (data_split)""",
-    "sequence_accounting": f"""with {STREAMS}, n as (select data_split, len(tokens) as n from tk) select coalesce(data_split, 'ALL') as data_split, count(*) as records, cast(sum(n) as bigint) as raw_tokens,
-      cast(sum(case when n > 400 then 0 when n > 128 then 128 else n end) as bigint) as kept_tokens, max(n) as longest, count(*) filter (n <= 128) as use_full, count(*) filter (n > 128 and n <= 400) as use_truncated, count(*) filter (n > 400) as exclude_oversize from n group by rollup (data_split)""",
-    "sequence_crop": f"""with {STREAMS}, b as (select *, greatest(128 - len(a) - 8, 0) as budget from st),
+    "vocabulary_errors": f"""with {STREAMS}, {VOCAB}, v as (select id + case when id >= 100 then 1 else 0 end as id, lower(token) as token from vocab), x as (select *, row_number() over (order by id, token) - 1 as place, row_number() over (partition by token order by id) as k from v)
+      select id, token, unnest(list_filter([case when id <> place then 'vocab entry ' || place || ' has a non-contiguous id' end, case when coalesce(length(token), 0) = 0 then 'vocab entry ' || place || ' has an invalid token' when k > 1 then 'duplicate vocab token: ' || token end], lambda x: x is not null)) as error from x""",
+    "sequence_plan": f"""with {STREAMS}, {VOCAB}, t as (select id, unnest(tokens) as token from tk), u as (select t.id, count(*) as unknown from t anti join vocab using (token) group by 1)
+      select tk.id, data_split, len(tokens) as raw_token_count, coalesce(unknown, 0) as unknown_token_count, cast(ceil(len(tokens) / 8192) as bigint) as raw_sequences_at_context, case when len(tokens) > 65536 then 'exclude_oversize' when len(tokens) > 8192 then 'use_truncated' else 'use_full' end as decision,
+      case when len(tokens) > 65536 then 'raw_token_count exceeds max_raw_record_tokens' when len(tokens) > 8192 then 'raw_token_count exceeds context_tokens' else 'raw_token_count fits context_tokens' end as reason, cast(8192 as bigint) as trainer_context_tokens, case when len(tokens) > 65536 then 0 else least(len(tokens), 8192) end as trainer_tokens from tk left join u using (id)""",
+    "sequence_accounting": f"""with n as (select case when repo_url is not null then 'DEV' else 'REPORT' end as data_split, len({tokenized("coalesce(text, '')")}) as n from documents), p as (select * from n union all select 'HELD_OUT', null)
+      select coalesce(data_split, 'ALL') as data_split, count(n) as records, cast(coalesce(sum(n), 0) as bigint) as raw_tokens, cast(coalesce(sum(case when n > 8192 then 0 when n > 2048 then 2048 else n end), 0) as bigint) as kept_tokens, coalesce(max(n), 0) as longest, count(*) filter (n <= 2048) as use_full, count(*) filter (n > 2048 and n <= 8192) as use_truncated,
+      count(*) filter (n > 8192) as exclude_oversize, cast(coalesce(sum(n - 2048) filter (n > 2048 and n <= 8192), 0) as bigint) as truncated_tokens, cast(coalesce(sum(n) filter (n > 8192), 0) as bigint) as excluded_tokens from p group by rollup (data_split)""",
+    "sequence_crop": f"""with d as (select doc_id, list_transform({tokenized("coalesce(text, '')")}, lambda t: case when t = chr(10) then '<nl>' else t end) as u, {tokenized("coalesce(source, 'none')")} as a from documents), b as (select *, greatest(2048 - 4 - len(a) - 8, 0) as budget from d),
       c2 as (select *, case when len(u) <= budget then u else list_concat(u[1:(budget + 1) // 2], case when budget // 2 > 0 then u[len(u) - budget // 2 + 1:] else [] end) end as cr from b)
-      select id, cast(len(cr) as bigint) as kept, cast(len(cr) + len(a) + 8 as bigint) as length, cast(len(a) + 2 as bigint) as loss, sha256(array_to_string(cr, ' ')) as crop_sha256 from c2""",
+      select doc_id, cast(len(cr) as bigint) as kept, cast(len(cr) + len(a) + 4 + 8 as bigint) as length, cast(len(a) + 2 as bigint) as loss, sha256(array_to_string(list_concat(list_concat(list_concat(['<bos>', '<system>', 'Name', 'the', 'source', '.', '<sep>', '<user>'], cr), ['<sep>', '<assistant>']), list_concat(a, ['<sep>', '<eos>'])), ' ')) as sha256 from c2""",
+    "sequence_rows": f"""with {STREAMS}, {VOCAB}, q as (select id, list_concat(list_concat(list_concat(['<bos>', '<system>', 'Commit', 'messages', '.', '<sep>', '<user>'], u), ['<sep>', '<assistant>']), list_concat(a, ['<sep>', '<eos>'])) as t, len(u) as nu, len(a) as na from st),
+      e as (select id, unnest(range(len(t))) as pos, unnest(t) as token from q), k as (select e.id, list(coalesce(v.id, 1) order by pos) as ids, count(*) filter (v.id is null) as unknown from e left join vocab v using (token) group by e.id)
+      select q.id, 'use_full' as decision, len(t) as raw_token_count, len(t) as input_length, cast(na + 2 as bigint) as loss_tokens, unknown as unknown_tokens, {ints_sha('ids')} as input_ids_sha256, {ints_sha('list_concat(list_transform(range(nu + 9), lambda z: 0), list_transform(range(na + 2), lambda z: 1))')} as loss_mask_sha256, 'full' as policy from q join k using (id)""",
+    "input_hashes": f"""select record_id, _ord, {ints_sha('[coalesce(input_length, -1), coalesce(loss_tokens, -1), coalesce(unknown_tokens, -1)]')} as ids_sha256, sha256(record_id) as record_sha256,
+      cast(('0x' || {"||".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))})::ubigint % 1000 as integer) as bucket from (select *, sha256(_ord || ':' || (_ord + 1) || ':0') as h from sequence_metadata)""",
+    "glob_partition": f"""with mf as (select {repo('repo_url')} as repo, exclude_globs from source_manifest where {repo('repo_url')} is not null qualify row_number() over (partition by {repo('repo_url')} order by _ord desc) = 1),
+      gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo)
+      select id, cast(len(list_filter(changed_paths, lambda x: not coalesce(regexp_matches(x, rx), false))) as bigint) as included, cast(len(list_filter(changed_paths, lambda x: coalesce(regexp_matches(x, rx), false))) as bigint) as excluded from (select id, {repo('source_repo_url')} as repo, changed_paths from {LABEL}) l left join gl using (repo)""",
+    "merged_labels": """with recursive r as (select id, source_commit, _ord, row_number() over (order by _ord % 2 desc, _ord) as rn, count(*) over (partition by id) as ni, count(*) over (partition by source_commit) as nc from generated_label where id is not null and source_commit is not null),
+      d as (select *, row_number() over (order by rn) as k from r where ni > 1 or nc > 1),
+      g as (select 0::bigint as k, false as kept, []::varchar[] as ps, []::varchar[] as ss union all select d.k, not list_contains(ps, d.id) and not list_contains(ss, d.source_commit), case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ps, d.id) else ps end,
+        case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ss, d.source_commit) else ss end from g join d on d.k = g.k + 1)
+      select id, source_commit, _ord from r where ni = 1 and nc = 1 union all select d.id, d.source_commit, d._ord from d join g using (k) where kept""",
     "type_matrix": f"""with {PARSED}, d as (select changed_paths, ptype from p where {split('data_split')} = 'DEV' and ptype in ({quoted(TYPES)}))
       select token, ptype as type, count(*) as n from (select unnest({TOKENS}) as token, ptype from d) group by 1, 2 union all select null, ptype, count(*) from d group by ptype""",
     "predicted_types": f"""with {PARSED}, d as (select id, {split('data_split')} as sp, changed_paths, ptype, {TOKENS} as tk from p where ptype in ({quoted(TYPES)})),

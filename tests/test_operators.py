@@ -122,8 +122,11 @@ def test_models(spark):
     assert loss[-1] < loss[0] and len(model.where("feature = ''").first()["weights"]) == len(TYPES)
     got = {r["id"]: r["predicted"] for r in models.predict_softmax(new, model, "id").collect()}
     assert got["x"] == "docs" and got["y"] == "fix"
-    with pytest.raises(ValueError, match="more than one task"):
-        models.train_softmax(train, "id", "type", limit=3)
+    # of a larger training set those with the smallest hashes are taken
+    few = [r["id"] for r in train.orderBy(F.xxhash64("id"), "id").limit(3).collect()]
+    seen = {r["feature"] for r in models.train_softmax(train, "id", "type", epochs=1, limit=3).collect()}
+    assert seen == {"", "loss", *(r["feature"] for r in models.features(train.where(F.col("id").isin(few)), "id").collect())}
+    assert models.train_softmax(train.limit(0), "id", "type", epochs=1).count() == 0
 
 
 def reference_margin(seqs, buckets, rate, scale, w=None):
