@@ -67,13 +67,24 @@ def write_report(report: dict, path: str) -> Path:
     return out
 
 
+def matching_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """(full, bytes) of the files that match, those in a matching folder included; empty files too, which no Spark scan shows."""
+    rows = []
+    for pattern in patterns:
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in system.globStatus(path) or []:
+            rows += [(str(f.getPath().toUri().getPath()), f.getLen()) for f in (system.listStatus(found.getPath()) if found.isDirectory() else [found]) if f.isFile()]
+    return spark.createDataFrame(rows, "full string, bytes bigint")
+
+
 def checksums(spark: SparkSession, patterns: list[str], root: str = "") -> DataFrame:
     """(path, sha256, bytes) of all files that match, paths relative to root.
 
-    Only names and lengths are listed by Spark; each task streams its files, so their size doesn't
+    Names and lengths are listed on the driver; each task streams its files, so their size doesn't
     matter. Files are read through the local file system or a mount.
     """
-    files = spark.read.format("binaryFile").load(patterns).select(F.regexp_replace("path", "^file:/*", "/").alias("full"), F.col("length").alias("bytes"))
+    files = matching_files(spark, patterns)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -83,7 +94,7 @@ def checksums(spark: SparkSession, patterns: list[str], root: str = "") -> DataF
                     sums.append(hashlib.file_digest(f, "sha256").hexdigest())
             yield pdf.assign(sha256=sums)
 
-    hashed = files.mapInPandas(digest, "full string, bytes bigint, sha256 string")
+    hashed = files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(digest, "full string, bytes bigint, sha256 string")
     path = F.when(F.startswith("full", F.lit(root)), F.substr("full", F.lit(len(root) + 1))).otherwise(F.col("full"))
     return hashed.select(F.regexp_replace(path, "^/", "").alias("path"), "sha256", "bytes")
 
