@@ -118,7 +118,8 @@ def classify(labels: DataFrame, manifest: DataFrame, alias: DataFrame) -> DataFr
     """
     every = label_paths(labels).join(owners(alias), "repo", "left").withColumn("owner", F.coalesce("owner", "repo"))
     every = materialize(every, "paths")
-    copies = recurring(materialize(folder_prints(every), "prints")).select("owner", "folder", F.lit("copy").alias("copy"))
+    # copies are written, so that their size is known and all paths stay where they are if it is small
+    copies = materialize(recurring(materialize(folder_prints(every), "prints")).select("owner", "folder", F.lit("copy").alias("copy")), "copies")
     named = every.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).join(copies, ["owner", "folder"], "left")
     joined = named.withColumn("kind", F.coalesce("copy", path_kind(F.col("path")))).join(repo_globs(manifest), "repo", "left")
     kind = F.coalesce(F.col("kind"), F.when(F.rlike("path", F.col("globs")), "glob"))
