@@ -4,8 +4,9 @@ from quern.session import session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
+def spark(tmp_path_factory):
+    scratch = tmp_path_factory.mktemp("checkpoints")
+    s = session("tests", "local[4]", **{"spark.checkpoint.dir": f"file://{scratch}", "spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
