@@ -39,11 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a is not null and b is not null").select("a", "b").distinct()
     both = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    found = _level(both)
+    return found if found is not None else both.select(F.col("a").alias("vertex"), F.col("a").alias("component"))
+
+
+def _level(both: DataFrame) -> DataFrame | None:
+    """components() of edges given in both directions and written; None without any edge."""
+    if not both.limit(1).count():
+        return None
     least = both.groupBy("a").agg(F.min(_rank("b")).alias("low"))
-    labels = least.select(F.col("a").alias("vertex"), F.when(F.col("low") >= _rank("a"), F.col("a")).alias("label"), F.lit(0).alias("step"))
-    labels, step = materialize(labels, "labels"), 0
+    labels, step = least.select(F.col("a").alias("vertex"), F.when(F.col("low") >= _rank("a"), F.col("a")).alias("label"), F.lit(0).alias("step")), 0
     links = both.where("a <> b")
-    while labels.where("label is null").limit(1).count():
+    while True:
         for _ in range(STEPS):
             frontier = labels.where(F.col("step") == step).where("label is not null").select(F.col("vertex").alias("b"), "label")
             reached = links.join(frontier, "b").groupBy("a").agg(F.min("label").alias("new"))
@@ -52,13 +59,14 @@ def components(edges: DataFrame) -> DataFrame:
             fresh = F.col("label").isNull() & F.col("new").isNotNull()
             labels = joined.select("vertex", F.coalesce("label", "new").alias("label"), F.when(fresh, step).otherwise(F.col("step")).alias("step"))
         labels = materialize(labels, "labels")
+        if not labels.where("label is null").limit(1).count():
+            break
     labels = labels.drop("step")
     one, two = labels.select(F.col("vertex").alias("a"), F.col("label").alias("la")), labels.select(F.col("vertex").alias("b"), F.col("label").alias("lb"))
-    met = both.join(one, "a").join(two, "b").where("la < lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
-    met = materialize(met, "met")
-    if not met.limit(1).count():
+    met = both.join(one, "a").join(two, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    upper = _level(materialize(met, "edges"))
+    if upper is None:
         return labels.withColumnRenamed("label", "component")
-    upper = components(met)
     return labels.join(upper, labels.label == upper.vertex, "left").select(labels.vertex, F.coalesce("component", "label").alias("component"))
 
 
