@@ -258,6 +258,22 @@ def predicted_types(s: SparkSession, d: str) -> DataFrame:
     return got.join(rows.select("id", "type"), "id").select("id", "predicted", "subject", (F.col("predicted") == F.col("type")).alias("type_match"))
 
 
+def prediction_report(s: SparkSession, d: str) -> DataFrame:
+    """Predicted messages against the labels' own: exact and type matches, and valid predictions."""
+    rows = commits.with_parsed(messages(s, d, "changed_paths", "data_split"), "message").where(F.col("parsed.type").isin(commits.TYPES)).withColumn("split", split_name("data_split"))
+    rows = materialize(rows.select("id", "split", "changed_paths", "message", "parsed.type"), "typed")
+    model = materialize(models.train_path_types(rows.where("split = 'DEV'")), "model")
+    held = rows.where("split = 'REPORT'")
+    made = models.predict_path_types(held, model, "id").select("id", F.concat("predicted", F.lit(": "), "subject").alias("prediction_message"))
+    pairs = training.prediction_rows(held.withColumnRenamed("message", "target_message"), made)
+    return pairs.agg(F.count(F.lit(1)).alias("records"), F.count_if("exact_match").alias("exact_match"), F.count_if("type_match").alias("type_match"), F.count_if("prediction_score.format_validity").alias("valid"), F.count_if("target_score.scope_quality").alias("target_scopes"))
+
+
+def merge_report(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "generated_label").select("id", "source_commit", "_ord")
+    return dedup.merge_inputs([rows.where(F.col("_ord") % 2 == 1), rows.where(F.col("_ord") % 2 == 0)], "id", "source_commit")[1]
+
+
 def softmax_types(s: SparkSession, d: str) -> DataFrame:
     rows = _typed(s, d)
     model = materialize(models.train_softmax(rows.where("split = 'DEV'"), "id", "type"), "model")
@@ -274,7 +290,7 @@ def margin_weights(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     own = [
         commit_parse, commit_score, mixed_messages, score_report, verifier, top_errors, path_tokens, path_flags, glob_partition, repo_keys, change_ids, window_overlaps, split_assign, split_summary, repo_share, gate_table, label_reference, missing_sequences,
-        duplicate_labels, first_labels, merged_labels, per_repo_limit, doc_token_counts, vocabulary_top, vocabulary_errors, token_coverage, sequence_plan, sequence_accounting, sequence_crop, sequence_rows, input_hashes, type_matrix, predicted_types, softmax_types, margin_weights,
+        duplicate_labels, first_labels, merged_labels, merge_report, per_repo_limit, doc_token_counts, vocabulary_top, vocabulary_errors, token_coverage, sequence_plan, sequence_accounting, sequence_crop, sequence_rows, input_hashes, type_matrix, predicted_types, prediction_report, softmax_types, margin_weights,
     ]
     from quern.plans import stages
 

@@ -104,6 +104,21 @@ DOCS = "(starts_with({p}, 'docs/') or ends_with({p}, '.md') or contains({p}, '/d
 TESTS = "regexp_matches(lower(replace(x, '\\', '/')), '^tests?/|/tests?/|test_|_test\\.')"
 CHURN = "case ty " + " ".join("when '{}' then {}".format(k, " || ".join(p for p in (f"'{t.split('{}')[0]}'", "topic", f"'{t.split('{}')[1]}'"))) for k, t in SUBJECTS.items()) + " else '{}' || topic || '{}' end".format(*DEFAULT_SUBJECT.split("{}"))
 
+MERGED = """with recursive r as (select id, source_commit, _ord, row_number() over (order by _ord % 2 desc, _ord) as rn, count(*) over (partition by id) as ni, count(*) over (partition by source_commit) as nc from generated_label where id is not null and source_commit is not null),
+      d as (select *, row_number() over (order by rn) as k from r where ni > 1 or nc > 1),
+      g as (select 0::bigint as k, false as kept, []::varchar[] as ps, []::varchar[] as ss union all select d.k, not list_contains(ps, d.id) and not list_contains(ss, d.source_commit), case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ps, d.id) else ps end,
+        case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ss, d.source_commit) else ss end from g join d on d.k = g.k + 1)"""
+
+PREDICTED = f"""{PARSED}, d as (select id, {split('data_split')} as sp, changed_paths, ptype, raw, pscope, {TOKENS} as tk from p where ptype in ({quoted(TYPES)})),
+      mo as (select token, ptype as ty, count(*) as n from (select unnest(tk) as token, ptype from d where sp = 'DEV') group by 1, 2),
+      e as (select id, unnest(tk) as token, unnest(range(len(tk))) as pos from d where sp = 'REPORT'), g as (select id, token, count(*) as k, min(pos) as pos from e group by 1, 2),
+      s1 as (select id, ty, sum(k * n) as score, min(pos) as pos from g join mo using (token) group by 1, 2),
+      s2 as (select d.id, x.ty, x.n as score, 0 as pos from d cross join (select ptype as ty, count(*) as n from d where sp = 'DEV' group by 1) x where d.sp = 'REPORT' and d.id not in (select id from s1)),
+      s3 as (select id, 'docs' as ty, 3 as score, 1073741824 as pos from d where sp = 'REPORT' and len(list_filter(changed_paths, lambda x: {DOCS})) > 0 union all select id, 'test', 2, 1073741824 from d where sp = 'REPORT' and len(list_filter(changed_paths, lambda x: {TESTS})) > 0),
+      a as (select id, ty, sum(score) as score, min(pos) as pos from (from s1 union all from s2 union all from s3) group by 1, 2),
+      w as (select id, case when ty in ({quoted(TYPES)}) then ty else 'chore' end as ty from a qualify row_number() over (partition by id order by score desc, pos, ty) = 1),
+      t as (select w.id, w.ty, d.ptype, coalesce(list_filter(d.tk, lambda t: t not in ({quoted(GENERIC_TOKENS)}))[1], 'project') as topic from w join d using (id))"""
+
 SQL: dict[str, str] = {
     "commit_parse": f"""with {PARSED} select id, ptype as type, pscope as scope, psubject as subject, cast(len(pbody) as bigint) as n_body, cast(len(pfoot) as bigint) as n_footers,
       case when error is null then regexp_extract(head, '{HEADER}', 3) = '!' or len(list_filter(pfoot, lambda x: starts_with(x, 'BREAKING CHANGE:'))) > 0 end as breaking, error from p""",
@@ -166,21 +181,14 @@ SQL: dict[str, str] = {
     "glob_partition": f"""with mf as (select {repo('repo_url')} as repo, exclude_globs from source_manifest where {repo('repo_url')} is not null qualify row_number() over (partition by {repo('repo_url')} order by _ord desc) = 1),
       gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo)
       select id, cast(len(list_filter(changed_paths, lambda x: not coalesce(regexp_matches(x, rx), false))) as bigint) as included, cast(len(list_filter(changed_paths, lambda x: coalesce(regexp_matches(x, rx), false))) as bigint) as excluded from (select id, {repo('source_repo_url')} as repo, changed_paths from {LABEL}) l left join gl using (repo)""",
-    "merged_labels": """with recursive r as (select id, source_commit, _ord, row_number() over (order by _ord % 2 desc, _ord) as rn, count(*) over (partition by id) as ni, count(*) over (partition by source_commit) as nc from generated_label where id is not null and source_commit is not null),
-      d as (select *, row_number() over (order by rn) as k from r where ni > 1 or nc > 1),
-      g as (select 0::bigint as k, false as kept, []::varchar[] as ps, []::varchar[] as ss union all select d.k, not list_contains(ps, d.id) and not list_contains(ss, d.source_commit), case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ps, d.id) else ps end,
-        case when not list_contains(ps, d.id) and not list_contains(ss, d.source_commit) then list_append(ss, d.source_commit) else ss end from g join d on d.k = g.k + 1)
+    "merged_labels": f"""{MERGED}
       select id, source_commit, _ord from r where ni = 1 and nc = 1 union all select d.id, d.source_commit, d._ord from d join g using (k) where kept""",
+    "merge_report": f"""{MERGED}, kp as (select _ord from r where ni = 1 and nc = 1 union all select d._ord from d join g using (k) where kept)
+      select cast(case when l._ord % 2 = 1 then 0 else 1 end as integer) as input, count(*) as rows, count(kp._ord) as kept, count(*) - count(kp._ord) as skipped from generated_label l left join kp on kp._ord = l._ord group by 1""",
+    "prediction_report": f"""with {PREDICTED}, u as (select t.id, ty || ': ' || {CHURN} as said, ty, t.ptype, raw, pscope, changed_paths, trim(trim(trim(pscope), '/')) as sc from t join d using (id))
+      select count(*) as records, count(*) filter (said = raw) as exact_match, count(*) filter (ty = ptype) as type_match, count(*) as valid, count(*) filter (pscope is not null and len(changed_paths) > 0 and sc <> '' and {VISIBLE}) as target_scopes from u""",
     "type_matrix": f"""with {PARSED}, d as (select changed_paths, ptype from p where {split('data_split')} = 'DEV' and ptype in ({quoted(TYPES)}))
       select token, ptype as type, count(*) as n from (select unnest({TOKENS}) as token, ptype from d) group by 1, 2 union all select null, ptype, count(*) from d group by ptype""",
-    "predicted_types": f"""with {PARSED}, d as (select id, {split('data_split')} as sp, changed_paths, ptype, {TOKENS} as tk from p where ptype in ({quoted(TYPES)})),
-      mo as (select token, ptype as ty, count(*) as n from (select unnest(tk) as token, ptype from d where sp = 'DEV') group by 1, 2),
-      e as (select id, unnest(tk) as token, unnest(range(len(tk))) as pos from d where sp = 'REPORT'), g as (select id, token, count(*) as k, min(pos) as pos from e group by 1, 2),
-      s1 as (select id, ty, sum(k * n) as score, min(pos) as pos from g join mo using (token) group by 1, 2),
-      s2 as (select d.id, x.ty, x.n as score, 0 as pos from d cross join (select ptype as ty, count(*) as n from d where sp = 'DEV' group by 1) x where d.sp = 'REPORT' and d.id not in (select id from s1)),
-      s3 as (select id, 'docs' as ty, 3 as score, 1073741824 as pos from d where sp = 'REPORT' and len(list_filter(changed_paths, lambda x: {DOCS})) > 0 union all select id, 'test', 2, 1073741824 from d where sp = 'REPORT' and len(list_filter(changed_paths, lambda x: {TESTS})) > 0),
-      a as (select id, ty, sum(score) as score, min(pos) as pos from (from s1 union all from s2 union all from s3) group by 1, 2),
-      w as (select id, case when ty in ({quoted(TYPES)}) then ty else 'chore' end as ty from a qualify row_number() over (partition by id order by score desc, pos, ty) = 1),
-      t as (select w.id, w.ty, d.ptype, coalesce(list_filter(d.tk, lambda t: t not in ({quoted(GENERIC_TOKENS)}))[1], 'project') as topic from w join d using (id))
+    "predicted_types": f"""with {PREDICTED}
       select id, ty as predicted, {CHURN} as subject, ty = ptype as type_match from t""",
 }

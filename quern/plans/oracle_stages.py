@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans.oracle import LABEL, PARSED, VISIBLE, repo, split, strip, valid
+from quern.plans.oracle import LABEL, PARSED, SCORED, VISIBLE, repo, split, valid
 
 FIRST = "(select * from generated_label qualify row_number() over (partition by id order by _ord) = 1)"
 SPLITS = "('DEV', 'REPORT', 'HELD_OUT')"
@@ -150,4 +150,15 @@ SQL: dict[str, str] = {
       cast(len(changed_paths) * 2 as bigint) as files, cast('10' || (len(changed_paths) + 10) as bigint) + 7 as lines from {LABEL}""",
     "sequence_errors": f"""select record_id, unnest({errors([('input_length > coalesce(m.context_tokens, r.context_tokens)', "'input_length exceeds context_tokens'"), ('coalesce(loss_tokens, 0) <= 0', "'missing loss tokens'")])}) as error from {valid('sequence_metadata', 'record_id')} m left join sequence_run r using (materialization_id)""",
     "missing_reviews": f"select distinct id as generated_label_id from generated_label where id is not null and id not in (select generated_label_id from {LABEL_REVIEWS} where decision <> 'needs_review')",
+    "updated_reviews": f"""select case when r.decision = 'needs_review' then (case when l.verifier_score = 1.0 then 'accept' else 'reject' end) else r.decision end as decision, case when r.decision = 'needs_review' then 'by score' else '' end as notes, count(*) as reviews
+      from {LABEL_REVIEWS} r left join {LABEL} l on l.id = r.generated_label_id group by 1, 2""",
+    "generated_rows": f"""with {SCORED}, ev as (select *, list_transform(evidence_paths, lambda p: regexp_replace(p, '(#L\\d+(?:-L?\\d+)?|:\\d+(?::\\d+)?)$', '')) as bare,
+      case when coalesce(header, '') = '' then 'teacher output header must be a non-empty string' when confidence is null or isnan(confidence) then 'teacher output confidence must be numeric' end as fault from (select * exclude (error), error as parse_error from e)),
+      k as (select *, list_distinct(list_filter(bare, lambda p: list_contains(changed_paths, p))) as kept, len(list_filter(bare, lambda p: not list_contains(changed_paths, p))) as lost from ev)
+      select id, case when fault is null then header end as header, cast(case when fault is null then len(body) end as bigint) as n_body, case when fault is null then coalesce(nullif(type, ''), ptype, '') end as type, case when fault is null then scope end as scope, case when fault is null then greatest(0.0::double, least(1.0::double, confidence)) end as confidence,
+      cast(case when fault is null then len(kept) end as bigint) as n_evidence, cast(case when fault is null then len(warnings) + (lost > 0)::int end as bigint) as n_warnings,
+      case when fault is null then round((format_validity::int + specificity::int + brevity::int + (len(list_filter(errors, lambda x: not (starts_with(x, 'scope ') and contains(x, ' is not visible in changed paths')))) = 0)::int + (len(kept) > 0)::int + 1) / 6.0::double, 6) end as verifier_score,
+      cast(case when fault is null then len(errors) end as bigint) as n_errors, fault as error from k""",
+    "two_level_limit": f"""select id, _ord from (select id, _ord, {split('data_split')} as s from generated_label qualify row_number() over (partition by coalesce({repo('source_repo_url')}, '') order by _ord) <= 20) where s = 'DEV' order by _ord limit 500""",
+    "first_sequences": f"select record_id from {valid('sequence_metadata', 'record_id')} where {split('data_split')} = 'DEV' and decision <> 'exclude_oversize' order by _ord limit 64",
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quern.functions import commits, paths
 from quern.functions.columns import repo_key, split_name, valid_rows
 from quern.operators import evaluation, lineage, records, sft
-from quern.operators.dedup import first_rows
+from quern.operators.dedup import first_rows, limit_two_levels
 from quern.session import materialize
 from quern.tables import table
 
@@ -222,9 +222,40 @@ def missing_reviews(s: SparkSession, d: str) -> DataFrame:
     return lineage.missing(_labels(s, d).select(F.col("id").alias("generated_label_id")), decided, "generated_label_id")
 
 
+def updated_reviews(s: SparkSession, d: str) -> DataFrame:
+    """Open reviews get a decision from the last delivery's score; those decided already keep theirs."""
+    last = valid_rows(_labels(s, d), "id", "verifier_score").select(F.col("id").alias("generated_label_id"), F.when(F.col("verifier_score") == 1.0, "accept").otherwise("reject").alias("decision"), F.lit("by score").alias("notes"))
+    out = lineage.update(_label_reviews(_first(s, d)), last, "generated_label_id", ["decision", "notes"], F.col("decision") == "needs_review")
+    return out.groupBy("decision", "notes").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+def generated_rows(s: SparkSession, d: str) -> DataFrame:
+    """Labels made again from replies that hold their own fields as JSON, behind thoughts and inside a fence."""
+    names = ["header", "body", "footers", "type", "scope", "warnings", "evidence_paths"]
+    labels = _labels(s, d)
+    last = labels.join(labels.groupBy("id").agg(F.max("_ord").alias("_ord")), ["id", "_ord"], "left_semi")
+    confidence = F.when(~F.isnan("confidence"), F.col("confidence")).alias("confidence")
+    reply = F.concat(F.lit("<think>{no}</think>\n```json\n"), F.to_json(F.struct(*names, confidence)), F.lit("\n```"))
+    replies = last.select(paths.without_prefix(F.col("id")).alias("source_diff_id"), reply.alias("reply"))
+    out = sft.label_rows(_inputs(last), replies, F.lit("now"))
+    return out.select("id", "header", F.size("body").cast("bigint").alias("n_body"), "type", "scope", "confidence", F.size("evidence_paths").cast("bigint").alias("n_evidence"), F.size("warnings").cast("bigint").alias("n_warnings"), F.round("verifier_score", 6).alias("verifier_score"), F.size("parser_result.errors").cast("bigint").alias("n_errors"), "error")
+
+
+def two_level_limit(s: SparkSession, d: str) -> DataFrame:
+    """The first 20 deliveries of every repository are candidates; of those in DEV the first 500 are taken."""
+    rows = _labels(s, d).select("id", "_ord", F.coalesce(repo_key("source_repo_url"), F.lit("")).alias("repo"), split_name("data_split").alias("split"))
+    return limit_two_levels(rows, ["repo"], [F.asc("_ord")], 20, F.col("split") == "DEV", 500, [F.asc("_ord")]).select("id", "_ord")
+
+
+def first_sequences(s: SparkSession, d: str) -> DataFrame:
+    """The first 64 kept sequences of DEV."""
+    rows = valid_rows(table(s, d, "sequence_metadata").withColumn("at", F.col("_ord")), "record_id", "at", "data_split", "decision")
+    return rows.where((split_name("data_split") == "DEV") & (F.col("decision") != "exclude_oversize")).orderBy("at").limit(64).select("record_id")
+
+
 def queries() -> dict[str, Query]:
     own = [
         manifest_errors, label_errors, plan_errors, window_manifest_errors, plan_ecosystems, source_errors, source_review_errors, label_review_errors, teacher_input_errors, label_input_errors, sft_errors, training_rows, lineage_errors,
-        eval_signals, eval_types, eval_errors, changed_labels, artifact_summary, decision_report, noise_paths, sequence_errors, missing_reviews,
+        eval_signals, eval_types, eval_errors, changed_labels, artifact_summary, decision_report, noise_paths, sequence_errors, missing_reviews, updated_reviews, generated_rows, two_level_limit, first_sequences,
     ]
     return {f.__name__: f for f in own}
