@@ -281,10 +281,10 @@ def softmax_types(s: SparkSession, d: str) -> DataFrame:
 
 
 def margin_weights(s: SparkSession, d: str) -> DataFrame:
-    rows = _streams(s, d).where("data_split = 'DEV'").select(F.xxhash64("id").alias("_ord"), "user", "reply")
-    rows = rows.withColumn("a", tokens.tokenize(F.col("reply")))
-    ids = F.transform("a", lambda t: F.pmod(F.xxhash64(t), F.lit(32_000)).cast("int"))
-    return models.train_margin(rows.select("_ord", ids.alias("ids"), F.transform("a", lambda _: F.lit(1)).alias("loss_mask")), 512, 50)
+    """The margin model of DEV's messages over the vocabulary's ids: 256 buckets, steps of 3, rows by their id."""
+    rows = materialize(_streams(s, d).where("data_split = 'DEV'").select("id", "data_split", "tokens", tokens.tokenize(F.col("reply")).alias("a")), "streams")
+    coded = vocabulary.encode(rows.select("id", "a"), _vocabulary(rows), "id", "a")
+    return models.train_margin(coded.select(F.col("id").alias("_ord"), "ids", F.transform("ids", lambda _: F.lit(1)).alias("loss_mask")), 256, 3)
 
 
 def queries() -> dict[str, Query]:

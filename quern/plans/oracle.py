@@ -178,6 +178,12 @@ SQL: dict[str, str] = {
       select q.id, 'use_full' as decision, len(t) as raw_token_count, len(t) as input_length, cast(na + 2 as bigint) as loss_tokens, unknown as unknown_tokens, {ints_sha('ids')} as input_ids_sha256, {ints_sha('list_concat(list_transform(range(nu + 9), lambda z: 0), list_transform(range(na + 2), lambda z: 1))')} as loss_mask_sha256, 'full' as policy from q join k using (id)""",
     "input_hashes": f"""select record_id, _ord, {ints_sha('[coalesce(input_length, -1), coalesce(loss_tokens, -1), coalesce(unknown_tokens, -1)]')} as ids_sha256, sha256(record_id) as record_sha256,
       cast(('0x' || {"||".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))})::ubigint % 1000 as integer) as bucket from (select *, sha256(_ord || ':' || (_ord + 1) || ':0') as h from sequence_metadata)""",
+    "margin_weights": f"""with {STREAMS}, {VOCAB}, tok as (select id, unnest(range(len(a))) as pos, unnest(a) as token from st where data_split = 'DEV'), cd as (select tok.id, pos, coalesce(v.id, 1) as v from tok left join vocab v using (token)),
+      sg as (select *, coalesce(lag(v) over (partition by id order by pos), 0) as p from cd), hs as (select *, sha256(p || ':' || v || ':' || pos) as h, case when v % 2 <> 0 then 1 else -1 end as sign from sg),
+      bk as (select *, cast(('0x' || {"||".join(f"substr(h, {15 - 2 * i}, 2)" for i in range(8))})::ubigint % 256 as integer) as bucket from hs),
+      st2 as (select bucket, list({{'s': sign::bigint, 'w': 0::bigint, 'l': 0::bigint, 'n': 0::bigint}} order by id, pos) as steps from bk group by bucket),
+      fd as (select bucket, len(steps) as tokens, list_reduce(list_prepend({{'s': 0::bigint, 'w': 0::bigint, 'l': 0::bigint, 'n': 0::bigint}}, steps), lambda q, x: {{'s': 0::bigint, 'w': q.w + case when 1000 - x.s * q.w > 0 then 3 * x.s else 0 end, 'l': q.l + greatest(1000 - x.s * q.w, 0), 'n': q.n + case when 1000 - x.s * q.w > 0 then 1 else 0 end}}) as r from st2)
+      select bucket, r.w as weight, r.l as loss, r.n as steps, tokens from fd""",
     "glob_partition": f"""with mf as (select {repo('repo_url')} as repo, exclude_globs from source_manifest where {repo('repo_url')} is not null qualify row_number() over (partition by {repo('repo_url')} order by _ord desc) = 1),
       gl as (select repo, string_agg({GLOB}, '|') as rx from (select repo, unnest(exclude_globs) as g from mf) where g <> '' group by repo)
       select id, cast(len(list_filter(changed_paths, lambda x: not coalesce(regexp_matches(x, rx), false))) as bigint) as included, cast(len(list_filter(changed_paths, lambda x: coalesce(regexp_matches(x, rx), false))) as bigint) as excluded from (select id, {repo('source_repo_url')} as repo, changed_paths from {LABEL}) l left join gl using (repo)""",
