@@ -35,16 +35,17 @@ def default_ranks() -> str:
 
 def exact_counter(ranks: str | None = None):
     """A column function: text -> exact number of tokens (bigint) of a byte-level vocabulary; null and empty texts have 0."""
-    path = ranks or default_ranks()
-    with open(path, "rb") as f:
+    import public_tokenizers
+
+    with open(ranks or default_ranks(), "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = public_tokenizers.PATTERN
 
     @F.pandas_udf("bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import public_tokenizers
         import tiktoken
 
-        encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         for part in texts:
             yield part.map(lambda t: len(encode(t)) if t else 0).astype("int64")
 
@@ -94,11 +95,11 @@ def _slots(spark, slots: int, plan: DataFrame) -> DataFrame:
     return drawn.join(before, ["source", "_c"]).select("slot", "source", (F.col("_own") + F.col("_before")).alias("rank"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, size: Column | None = None, slot_tokens: int = SLOT_TOKENS) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, size: Column | None = None, slot_tokens: int = SLOT_TOKENS, ranks: str | None = None) -> DataFrame:
     """(slot, source, repeat, doc_id, tokens), in the order of slots.
 
     total: tokens to draw; by default as many as the targets and max_repeats allow at these exact
-    shares. size: a document's tokens, by default counted exactly. Documents without a source, of a
+    shares. size: a document's tokens, by default counted exactly with the rank file `ranks`. Documents without a source, of a
     source without a target, or without tokens are never drawn, and the first two kinds aren't
     tokenised; a source with a target but no documents leaves its share to the others. Of repeated
     targets the largest share holds; a missing max_repeats is 1. A slot that lies within a long
@@ -110,7 +111,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, size
     named = documents.where("doc_id is not null").select("doc_id", folded("source").alias("source"), *([size.alias("tokens")] if size is not None else ["text"]))
     named = named.join(goal.select("source"), "source", "left_semi")
     if size is None:
-        named = named.select("doc_id", "source", exact_counter()("text").alias("tokens"))
+        named = named.select("doc_id", "source", exact_counter(ranks)("text").alias("tokens"))
     # written before it is filtered: a filter on the count would count twice
     docs = materialize(named, "tokens").where("tokens > 0")
     have = docs.groupBy("source").agg(F.sum("tokens").alias("have"), F.count(F.lit(1)).alias("rows"))

@@ -144,10 +144,14 @@ def token_counter(model: str | None = None):  # noqa: ANN201
     """
     path = model or default_model()
     trie, merges = DoubleArray(vocabulary(path)), has_merges(processor(path))
+    with open(path, "rb") as f:
+        proto = f.read()  # the file goes along, so that tasks need no path
 
     @F.pandas_udf("tokens bigint, exact bigint")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sp = processor(path)
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         counter = Counter(trie, sp.normalize)
         for part in texts:
             best = part.map(counter.tokens).astype("int64")
