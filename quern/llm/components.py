@@ -22,7 +22,7 @@ from quern.functions.columns import repo_key, split_name, valid_rows
 from quern.session import materialize
 
 #: Hashes tried, starting points tried on each one's circle, hash ranges per plan within which running sums are taken.
-SEEDS, TURNS, RANGES = 8, 100, 1024
+SEEDS, TURNS, RANGES = 32, 100, 1024
 #: Steps of the search between two tables written.
 STEPS = 2
 

@@ -46,12 +46,12 @@ rc as (select p, count(distinct own) as repos from pr group by p),
 cp as (select own, dir, true as copy from pr join rc using (p) group by own, dir having count(*) filter (repos >= 20) >= 0.8 * count(*)),
 kd as (select id, raw, case when copy then 'copy' else coalesce({KIND}, case when coalesce(regexp_matches(path, rx), false) then 'glob' end) end as kind from ow left join cp using (own, dir) left join gl using (repo))"""
 
-# Entities of plans on a circle by hash, tried with 8 hashes and 100 starts.
+# Entities of plans on a circle by hash, tried with 32 hashes and 100 starts.
 SPLITS4 = f"""recursive e as (select {repo('alias_url')} as a, {repo('repo_url')} as b from repo_alias), ed as (select a, b from e union select b, a from e), reach as (select a as v, a as w from ed union select reach.v, ed.b from reach join ed on reach.w = ed.a), comp as (select v, min(w) as c from reach group by v),
 w as (select id, plan_id, coalesce({repo('repo_url')}, 'window:' || id) as r, {split('split')} as s, greatest(coalesce(target_records, 0), 0) as target from {valid('split_plan', 'id')}), x as (select w.*, coalesce(c, r) as ent from w left join comp on v = r),
 per as (select plan_id, ent, sum(target) as t, count(*) as n from x group by 1, 2), tot as (select plan_id, sum(t) as total, sum(n) as cnt from per group by 1),
 z as (select per.plan_id, ent, case when total > 0 then t else n end::double as weight, case when total > 0 then total else cnt end::double as total from per join tot on per.plan_id is not distinct from tot.plan_id),
-h as (select z.*, seed, ('0x' || substr(sha256(ent || ':' || seed), 1, 15))::ubigint as hash from z, (select unnest(range(8)) as seed)),
+h as (select z.*, seed, ('0x' || substr(sha256(ent || ':' || seed), 1, 15))::ubigint as hash from z, (select unnest(range(32)) as seed)),
 m as (select *, (sum(weight) over (partition by plan_id, seed order by hash, ent rows unbounded preceding) - weight / 2) / total as middle from h),
 g as (select {split('split')} as s, max(share) as share from split_target where share > 0 group by 1), gs as (select s, share, row_number() over (order by s) - 1 as k, sum(share) over (order by s) / sum(share) over () as upto, share / sum(share) over () as part from g where s is not null),
 tr as (select m.*, turn, (middle - turn / 100.0::double) % 1.0::double as o from m, (select unnest(range(100)) as turn)), pl as (select *, (select count(*) from gs where k < (select max(k) from gs) and (case when o < 0 then (o + 1.0::double) % 1.0::double else o end) >= upto) as place from tr),
